@@ -1 +1,358 @@
+"""Detectors: PCA, clusters, next events, density labels, classifiers."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from logweir.functions.vectors import cosine_distance, sum_vectors
+from logweir.operators import clusters as K
+from logweir.operators import density as D
+from logweir.operators import next_event as N
+from logweir.operators.classify import SessionClassifier
+from logweir.operators.features import CountModel, dense_vectors
+from logweir.operators.ica import IcaModel
+from logweir.operators.pca import gram_rows
+from logweir.operators.splits import encode_sequences, event_index
+from logweir.operators.windows import sliding_windows
+from logweir.plans.detectors import CountPca, SemanticPca
+from logweir.session import materialise
+from workload.features import C_SQL, U_SQL, r, user_sequences, windows_sql
+from workload.fixtures import (
+    S_SQL, TRAIN, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
+)
+from workload.registry import query
+
+
+def _labels(spark, sf_dir):
+    from logweir.operators.sessions import label_any
+
+    return label_any(members(spark, sf_dir)).select("session_id", "label")
+
+
+# ---- PCA -------------------------------------------------------------------------------
+
+
+@query(f"""WITH {C_SQL}
+SELECT a.event AS event_i, b.event AS event_j, round(sum(a.x * b.x), 3) + 0.0 AS g
+FROM w a JOIN w b ON a.session_id = b.session_id GROUP BY 1, 2""")
+def gram_matrix(spark, sf_dir):
+    seq = sequences(spark, sf_dir)
+    model = CountModel.fit(seq, "tf-idf")
+    index = event_index(seq.select("event"))
+    events = [e["event"] for e in index.orderBy("idx").collect()]
+    g = gram_rows(dense_vectors(model.transform(seq), events))
+    a = index.select(F.col("idx").alias("i"), F.col("event").alias("event_i"))
+    b = index.select(F.col("idx").alias("j"), F.col("event").alias("event_j"))
+    return (
+        g.filter(F.col("g") != 0).join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+        .select("event_i", "event_j", r("g", 3).alias("g"))
+    )
+
+
+@query()
+def pca_count_sessions(spark, sf_dir):
+    """Count PCA fitted on the sessions of even users, scored on all sessions."""
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    model = CountPca.fit(seq.filter(TRAIN), n_components=4)
+    scored = model.transform(seq)
+    return scored.join(_labels(spark, sf_dir), "session_id").select(
+        "session_id", r("spe").alias("spe"), "predicted", "label"
+    )
+
+
+@query()
+def pca_semantic_sessions(spark, sf_dir):
+    """Semantic PCA fitted on the sessions of even users, scored on all sessions."""
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    model = SemanticPca.fit(seq.filter(TRAIN), event_vectors(spark, sf_dir), n_components=0.95)
+    return model.transform(seq).join(_labels(spark, sf_dir), "session_id").select(
+        "session_id", r("spe").alias("spe"), "predicted", "label"
+    )
+
+
+# ---- clusters --------------------------------------------------------------------------
+
+NEAR_SQL = (
+    V_SQL
+    + """,
+mu AS (SELECT label AS cluster, dim, avg(x) AS x FROM v GROUP BY 1, 2),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
+mn AS (SELECT cluster, sqrt(sum(x * x)) AS n FROM mu GROUP BY 1),
+dots AS (SELECT vec_id, cluster, sum(v.x * mu.x) AS p FROM v JOIN mu USING (dim) GROUP BY 1, 2),
+ds AS (SELECT vec_id, cluster, 1 - p / (vn.n * mn.n + 1e-8) AS d
+       FROM dots JOIN vn USING (vec_id) JOIN mn USING (cluster)),
+dz AS (SELECT vec_id, cluster, CASE WHEN d < 1e-8 THEN 0 ELSE d END AS d FROM ds),
+near AS (SELECT vec_id, min_by(cluster, {'d': d, 'c': cluster}) AS cluster, min(d) AS dist
+         FROM dz GROUP BY vec_id)"""
+)
+
+
+def _label_means(spark, sf_dir):
+    means = sum_vectors(vectors(spark, sf_dir), ["label"], "vec", mean=True)
+    return means.select(F.col("label").cast("bigint").alias("cluster"), "vec")
+
+
+def _model(spark, sf_dir, threshold=0.4):
+    return K.LogClusterModel(materialise(_label_means(spark, sf_dir), "means"), threshold)
+
+
+@query(f"""WITH {NEAR_SQL}
+SELECT ds.vec_id, round(dz.d, 6) + 0.0 AS dist FROM dz
+JOIN (SELECT vec_id, label FROM embeddings) ds ON ds.vec_id = dz.vec_id AND ds.label = dz.cluster""")
+def cosine_to_own_mean(spark, sf_dir):
+    own = _label_means(spark, sf_dir).withColumnRenamed("vec", "mean")
+    v = vectors(spark, sf_dir)
+    joined = v.join(own, v.label == own.cluster)
+    return joined.select("vec_id", r(cosine_distance("vec", "mean")).alias("dist"))
+
+
+@query(f"""WITH {NEAR_SQL} SELECT vec_id, cluster, round(dist, 6) + 0.0 AS dist,
+  CASE WHEN dist > 0.4 THEN 'Anomalous' ELSE 'Normal' END AS predicted FROM near""")
+def nearest_cluster(spark, sf_dir):
+    out = _model(spark, sf_dir).transform(vectors(spark, sf_dir).select("vec_id", "vec"))
+    return out.select("vec_id", "cluster", r("dist").alias("dist"), "predicted")
+
+
+@query(f"""WITH {NEAR_SQL},
+known AS (SELECT DISTINCT near.cluster FROM near JOIN embeddings e USING (vec_id)
+          WHERE vec_id % 10 = 0 AND label < 5)
+SELECT vec_id, CASE WHEN dist > 0.4 OR cluster NOT IN (SELECT cluster FROM known)
+  THEN 'Anomalous' ELSE 'Normal' END AS predicted FROM near""")
+def known_normal_clusters(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    labelled = v.filter((F.col("vec_id") % 10 == 0) & (F.col("label") < 5)).select("vec_id", "vec")
+    model = _model(spark, sf_dir).with_known_normals(labelled)
+    return model.transform(v.select("vec_id", "vec")).select("vec_id", "predicted")
+
+
+def _count_vectors(spark, sf_dir, event="event_key"):
+    """(session_id, session_idx, label, vec) of tf-idf counts."""
+    seq = materialise(sequences(spark, sf_dir, event), "sequences")
+    model = CountModel.fit(seq, "tf-idf")
+    events = [e["event"] for e in event_index(seq.select("event")).orderBy("idx").collect()]
+    x = dense_vectors(model.transform(seq), events)
+    return materialise(x.join(sessions(spark, sf_dir), "session_id"), "count-vectors")
+
+
+@query()
+def log_clusters(spark, sf_dir):
+    """Clusters of the normal sessions of even users, all sessions scored."""
+    data = _count_vectors(spark, sf_dir, "event_type")
+    train = data.filter(TRAIN & (F.col("label") == "Normal"))
+    model = K.fit_log_clusters(train, max_dist=0.1, anomaly_threshold=0.1)
+    out = model.transform(data.select("session_id", "label", "vec"))
+    return out.select("session_id", "cluster", r("dist").alias("dist"), "predicted", "label")
+
+
+# ---- next events -----------------------------------------------------------------------
+
+
+@query(f"""WITH {U_SQL}, {windows_sql(2)},
+k AS (SELECT win, next_event, count(*) AS cnt FROM wn GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY cnt DESC, next_event) AS rank FROM k)
+SELECT win AS "window", next_event, cnt, CAST(rank AS INT) AS rank FROM q WHERE rank <= 3""")
+def next_event_candidates(spark, sf_dir):
+    ranked = N.ranked_next(sliding_windows(user_sequences(spark, sf_dir), 2))
+    return ranked.filter(F.col("rank") <= 3).withColumn("window", F.array_join("window", " "))
+
+
+NEXT_SQL = f"""{S_SQL},
+ms AS (SELECT session_id, pos, event_key AS event FROM m),
+{windows_sql(2, 'ms')},
+trw AS (SELECT win, next_event, count(*) AS cnt FROM wn JOIN s USING (session_id)
+        WHERE {TRAIN_SQL} AND label = 'Normal' GROUP BY 1, 2)"""
+
+RANKED_SQL = f"""{NEXT_SQL},
+q AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY cnt DESC, next_event) AS rank FROM trw),
+worst AS (SELECT s.session_id, s.label, CASE WHEN s.n <= 2 THEN 2147483647
+    ELSE max(coalesce(rank, 2147483647)) END AS worst
+  FROM s LEFT JOIN wn ON wn.session_id = s.session_id
+  LEFT JOIN q ON q.win = wn.win AND q.next_event = wn.next_event GROUP BY 1, 2, s.n)"""
+
+
+def _next_model(spark, sf_dir, backoff):
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    labels = materialise(_labels(spark, sf_dir), "labels")
+    normal = labels.filter(F.col("label") == "Normal").select("session_id")
+    train = seq.filter(TRAIN).join(normal, "session_id", "left_semi")
+    return seq, labels, N.NextEventModel.fit(train, h=2, backoff=backoff)
+
+
+@query(f"""WITH {RANKED_SQL}
+SELECT session_id, label, CASE WHEN worst > 20 THEN 'Anomalous' ELSE 'Normal' END AS predicted FROM worst""")
+def conformance_flags(spark, sf_dir):
+    seq, labels, model = _next_model(spark, sf_dir, backoff=False)
+    return labels.join(model.flag_sessions(seq, g=20), "session_id")
+
+
+BACKOFF_SQL = f"""{NEXT_SQL},
+ctx AS (
+  SELECT 2 AS level, win AS context, next_event, cnt FROM trw
+  UNION ALL SELECT 1, split_part(win, ' ', 2), next_event, cnt FROM trw
+  UNION ALL SELECT 0, '', next_event, cnt FROM trw),
+cc AS (SELECT level, context, next_event, sum(cnt) AS cnt FROM ctx GROUP BY 1, 2, 3),
+q AS (SELECT *, row_number() OVER (PARTITION BY level, context ORDER BY cnt DESC, next_event) AS rank
+      FROM cc),
+lev AS (SELECT win, CASE WHEN win IN (SELECT context FROM q WHERE level = 2) THEN 2
+  WHEN split_part(win, ' ', 2) IN (SELECT context FROM q WHERE level = 1) THEN 1 ELSE 0 END AS level
+  FROM (SELECT DISTINCT win FROM wn)),
+wr AS (SELECT wn.session_id, rank FROM wn JOIN lev USING (win)
+  LEFT JOIN q ON q.level = lev.level AND q.next_event = wn.next_event AND q.context =
+    CASE lev.level WHEN 2 THEN win WHEN 1 THEN split_part(win, ' ', 2) ELSE '' END),
+worst AS (SELECT s.session_id, s.label, CASE WHEN s.n <= 2 THEN 2147483647
+    ELSE max(coalesce(rank, 2147483647)) END AS worst
+  FROM s LEFT JOIN wr ON wr.session_id = s.session_id GROUP BY 1, 2, s.n)"""
+
+
+@query(f"WITH {BACKOFF_SQL} SELECT session_id, CAST(worst AS INT) AS worst FROM worst")
+def next_event_backoff(spark, sf_dir):
+    """Worst rank per session; unseen windows fall back to shorter suffixes."""
+    seq, _, model = _next_model(spark, sf_dir, backoff=True)
+    return model.worst_ranks(seq)
+
+
+@query(f"""WITH {BACKOFF_SQL}, g AS (SELECT unnest(range(1, 41)) AS g),
+t AS (SELECT g, count(*) FILTER (worst > g AND label = 'Anomalous') AS tp,
+        count(*) FILTER (worst > g AND label = 'Normal') AS fp,
+        count(*) FILTER (worst <= g AND label = 'Anomalous') AS fn FROM worst, g GROUP BY g)
+SELECT g, tp, fp, fn, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) + 0.0 AS f1
+FROM t""")
+def candidate_sweep(spark, sf_dir):
+    seq, labels, model = _next_model(spark, sf_dir, backoff=True)
+    swept = N.sweep_candidates(model.worst_ranks(seq), labels, 40)
+    return swept.withColumn("f1", r("f1"))
+
+
+@query()
+def next_event_mlp(spark, sf_dir):
+    """Perceptron ranks of the true next event type of every distinct window."""
+    seq = user_sequences(spark, sf_dir)
+    index = event_index(seq.select("event"))
+    codes = encode_sequences(seq, index).withColumnRenamed("code", "event")
+    windows = materialise(sliding_windows(codes, 3), "windows")
+    k = index.count()
+    model = N.NextEventMlp.fit(windows, h=3, k=k)
+    return model.rank_windows(windows).withColumn("window", F.array_join("window", " "))
+
+
+# ---- density labels --------------------------------------------------------------------
+
+
+def clustered(spark, sf_dir):
+    """(session_id, cluster, outlier, label, vec): embedding labels as clusters, 0 as noise,
+    and copies of some vectors as further noise."""
+    v = vectors(spark, sf_dir).withColumn(
+        "cluster", F.when(F.col("label") == 0, -1).otherwise(F.col("label"))
+    )
+    copies = v.filter(F.col("vec_id") % 25 == 0).withColumn(
+        "vec_id", F.col("vec_id") + 100_000
+    ).withColumn("cluster", F.lit(-1))
+    both = v.unionByName(copies)
+    return both.select(
+        F.col("vec_id").alias("session_id"),
+        "cluster",
+        ((F.col("vec_id") % 10) / 10).alias("outlier"),
+        F.when(F.col("label") >= 7, "Anomalous").otherwise("Normal").alias("label"),
+        "vec",
+    )
+
+
+def labelled_ids(spark, sf_dir):
+    return vectors(spark, sf_dir).filter(
+        (F.col("vec_id") % 10 == 0) & (F.col("label") <= 5)
+    ).select(F.col("vec_id").alias("session_id"))
+
+
+PU_SQL = """
+base AS (
+  SELECT vec_id AS session_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster, label AS l,
+         embedding FROM embeddings
+  UNION ALL SELECT vec_id + 100000, -1, label, embedding FROM embeddings WHERE vec_id % 25 = 0),
+lab AS (SELECT session_id, cluster, embedding FROM base
+        WHERE session_id < 100000 AND session_id % 10 = 0 AND l <= 5),
+pu AS (
+  SELECT session_id, cluster, (session_id % 10) / 10 AS outlier,
+    CASE WHEN l >= 7 THEN 'Anomalous' ELSE 'Normal' END AS label,
+    CASE WHEN session_id IN (SELECT session_id FROM lab) THEN 'labelled'
+      WHEN cluster = -1 THEN 'distance' ELSE 'cluster' END AS rule,
+    CASE WHEN session_id IN (SELECT session_id FROM lab) THEN 'Normal'
+      WHEN cluster = -1 THEN CASE WHEN embedding IN (SELECT embedding FROM lab) THEN 'Normal'
+        ELSE 'Anomalous' END
+      WHEN cluster IN (SELECT cluster FROM lab) THEN 'Normal' ELSE 'Anomalous' END AS predicted
+  FROM base),
+pc AS (SELECT *, CASE WHEN rule = 'labelled' OR cluster = -1 THEN 0 ELSE outlier END AS confidence
+       FROM pu)"""
+
+
+def pu(spark, sf_dir):
+    labels = D.propagate_labels(clustered(spark, sf_dir), labelled_ids(spark, sf_dir))
+    return D.with_confidence(labels)
+
+
+@query(f"WITH {PU_SQL} SELECT session_id, rule, predicted FROM pc")
+def pu_labels(spark, sf_dir):
+    return pu(spark, sf_dir).select("session_id", "rule", "predicted")
+
+
+@query(f"WITH {PU_SQL} SELECT session_id, round(confidence, 6) + 0.0 AS confidence FROM pc")
+def pu_confidence(spark, sf_dir):
+    return pu(spark, sf_dir).select("session_id", r("confidence").alias("confidence"))
+
+
+@query(f"""WITH {PU_SQL}
+SELECT session_id, predicted AS class, round(1 - confidence / 2, 6) + 0.0 AS weight FROM pc
+UNION ALL SELECT session_id, CASE WHEN predicted = 'Normal' THEN 'Anomalous' ELSE 'Normal' END,
+  round(confidence / 2, 6) + 0.0 FROM pc""")
+def soft_targets(spark, sf_dir):
+    return D.soft_targets(pu(spark, sf_dir)).select(
+        "session_id", "class", r("weight").alias("weight")
+    )
+
+
+@query()
+def density_labels(spark, sf_dir):
+    """Density clusters of all sessions, labels propagated from half of the train normals."""
+    from logweir.operators.splits import labelled_normals as first_half
+
+    data = _count_vectors(spark, sf_dir, "event_type")
+    found = materialise(
+        D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(data), "density"
+    )
+    labels = D.with_confidence(D.propagate_labels(found, first_half(data.filter(TRAIN))))
+    return labels.select(
+        "session_id", "cluster", "predicted", r("confidence").alias("confidence"), "label"
+    )
+
+
+@query()
+def ica_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", "vec")
+    model = IcaModel.fit(v, k=8, max_iter=40)
+    return model.transform(v).select(
+        "vec_id", F.transform("vec", lambda x: F.round(x, 4)).cast("string").alias("components")
+    )
+
+
+# ---- classifiers -----------------------------------------------------------------------
+
+
+@query()
+def session_classifier(spark, sf_dir):
+    data = _count_vectors(spark, sf_dir)
+    model = SessionClassifier.fit(data.filter(TRAIN))
+    return model.transform(data).select("session_id", r("score", 4).alias("score"), "predicted", "label")
+
+
+@query()
+def soft_classifier(spark, sf_dir):
+    """Classifier on soft targets of density labels."""
+    from logweir.operators.splits import labelled_normals as first_half
+
+    data = _count_vectors(spark, sf_dir, "event_type")
+    train = data.filter(TRAIN)
+    found = materialise(
+        D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(train), "density"
+    )
+    labels = D.with_confidence(D.propagate_labels(found, first_half(train)))
+    model = SessionClassifier.fit(D.soft_targets(labels), target="class", weight="weight")
+    return model.transform(data).select("session_id", r("score", 4).alias("score"), "predicted", "label")
