@@ -55,7 +55,7 @@ def nearest(df: DataFrame, representatives: DataFrame, vec: str = "vec") -> Data
     one more narrow pass in the same stage, and any number of blocks is allowed. Without
     representatives the distance is infinite.
     """
-    width = vector_size(df, vec)
+    width = vector_size(representatives)
     ids = representatives.agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).first()
     out = df.withColumn("dist", F.lit(float("inf"))).withColumn(
         "cluster", F.lit(-1).cast("bigint")
