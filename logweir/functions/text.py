@@ -16,8 +16,9 @@ SYMBOLS = r"[\*\.\?\+\$\^\[\]\(\)\{\}\|\\\/]"
 TEMPLATE_DELIMITERS = r"[,\!:=\[\]\(\)\$\.\/\#\|\\" + WHITESPACE + "]"
 OCTET = r"(\d|[1-9]\d|1\d{2}|2[0-4]\d|25[0-5])"
 PORT = r"(6[0-5]{2}[0-3][0-5]|[1-5]\d{4}|[1-9]\d{1,3}|[0-9])"
-BEFORE = r"((?<=[^A-Za-z0-9])|^)"
-AFTER = r"((?=[^A-Za-z0-9])|$)"
+# start or end of the text, or a neighbour that is no ASCII letter or digit
+BEFORE = r"(?<![A-Za-z0-9])"
+AFTER = r"(?![A-Za-z0-9])"
 # ordered (pattern, mask) lists
 MASKS = [
     (r"blk_(|-)[0-9]+", "[ID]"),

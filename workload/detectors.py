@@ -18,7 +18,7 @@ from logweir.plans.detectors import CountPca, SemanticPca
 from logweir.session import materialise
 from workload.features import C_SQL, U_SQL, r, user_sequences, windows_sql
 from workload.fixtures import (
-    S_SQL, TRAIN, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
+    S_SQL, is_train, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
 )
 from workload.registry import query
 
@@ -53,7 +53,7 @@ def gram_matrix(spark, sf_dir):
 def pca_count_sessions(spark, sf_dir):
     """Count PCA fitted on the sessions of even users, scored on all sessions."""
     seq = materialise(sequences(spark, sf_dir), "sequences")
-    model = CountPca.fit(seq.filter(TRAIN), n_components=4)
+    model = CountPca.fit(seq.filter(is_train()), n_components=4)
     scored = model.transform(seq)
     return scored.join(_labels(spark, sf_dir), "session_id").select(
         "session_id", r("spe").alias("spe"), "predicted", "label"
@@ -64,7 +64,7 @@ def pca_count_sessions(spark, sf_dir):
 def pca_semantic_sessions(spark, sf_dir):
     """Semantic PCA fitted on the sessions of even users, scored on all sessions."""
     seq = materialise(sequences(spark, sf_dir), "sequences")
-    model = SemanticPca.fit(seq.filter(TRAIN), event_vectors(spark, sf_dir), n_components=0.95)
+    model = SemanticPca.fit(seq.filter(is_train()), event_vectors(spark, sf_dir), n_components=0.95)
     return model.transform(seq).join(_labels(spark, sf_dir), "session_id").select(
         "session_id", r("spe").alias("spe"), "predicted", "label"
     )
@@ -138,7 +138,7 @@ def _count_vectors(spark, sf_dir, event="event_key"):
 def log_clusters(spark, sf_dir):
     """Clusters of the normal sessions of even users, all sessions scored."""
     data = _count_vectors(spark, sf_dir, "event_type")
-    train = data.filter(TRAIN & (F.col("label") == "Normal"))
+    train = data.filter(is_train() & (F.col("label") == "Normal"))
     model = K.fit_log_clusters(train, max_dist=0.1, anomaly_threshold=0.1)
     out = model.transform(data.select("session_id", "label", "vec"))
     return out.select("session_id", "cluster", r("dist").alias("dist"), "predicted", "label")
@@ -174,7 +174,7 @@ def _next_model(spark, sf_dir, backoff):
     seq = materialise(sequences(spark, sf_dir), "sequences")
     labels = materialise(_labels(spark, sf_dir), "labels")
     normal = labels.filter(F.col("label") == "Normal").select("session_id")
-    train = seq.filter(TRAIN).join(normal, "session_id", "left_semi")
+    train = seq.filter(is_train()).join(normal, "session_id", "left_semi")
     return seq, labels, N.NextEventModel.fit(train, h=2, backoff=backoff)
 
 
@@ -318,7 +318,7 @@ def density_labels(spark, sf_dir):
     found = materialise(
         D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(data), "density"
     )
-    labels = D.with_confidence(D.propagate_labels(found, first_half(data.filter(TRAIN))))
+    labels = D.with_confidence(D.propagate_labels(found, first_half(data.filter(is_train()))))
     return labels.select(
         "session_id", "cluster", "predicted", r("confidence").alias("confidence"), "label"
     )
@@ -339,7 +339,7 @@ def ica_vectors(spark, sf_dir):
 @query()
 def session_classifier(spark, sf_dir):
     data = _count_vectors(spark, sf_dir)
-    model = SessionClassifier.fit(data.filter(TRAIN))
+    model = SessionClassifier.fit(data.filter(is_train()))
     return model.transform(data).select("session_id", r("score", 4).alias("score"), "predicted", "label")
 
 
@@ -349,7 +349,7 @@ def soft_classifier(spark, sf_dir):
     from logweir.operators.splits import labelled_normals as first_half
 
     data = _count_vectors(spark, sf_dir, "event_type")
-    train = data.filter(TRAIN)
+    train = data.filter(is_train())
     found = materialise(
         D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(train), "density"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logweir.operators import features as X
 from logweir.operators import windows as G
 from workload.fixtures import (
-    EV_SQL, M_SQL, TRAIN, TRAIN_SQL, V_SQL, event_vectors, sequences, table, vectors, word_vectors,
+    EV_SQL, M_SQL, is_train, TRAIN_SQL, V_SQL, documents, event_vectors, sequences, table, vectors, word_vectors,
 )
 from workload.registry import query
 from workload.splits import SHIFTED_SQL, _shifted
@@ -106,7 +106,7 @@ def transform_unseen_oov(spark, sf_dir):
 
 
 def _templates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("template_id"), F.col("text").alias("template")
     )
 
@@ -128,7 +128,7 @@ def _plain_templates(spark, sf_dir):
     from logweir.functions.text import template_tokens
 
     words = F.filter(template_tokens("text"), lambda t: t.rlike("^[a-z]+$"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("template_id"), F.array_join(words, " ").alias("template")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweir.operators.sessions import label_any, session_index, sessions_by_count
+from logweir.session import spread
 
 ALERT_VALUE = 200.0
 
@@ -68,7 +69,10 @@ s AS (
 )
 
 # train = the sessions whose user is even, test = the rest
-TRAIN = (F.substring_index("session_id", "_", 1).cast("bigint") % 2) == 0
+def is_train():
+    return (F.substring_index("session_id", "_", 1).cast("bigint") % 2) == 0
+
+
 TRAIN_SQL = "CAST(split_part(session_id, '_', 1) AS BIGINT) % 2 = 0"
 
 
@@ -114,7 +118,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     head = F.concat(F.lit("081109 203518 "), e, F.lit(" INFO dfs.DataNode: "))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("log_id"), F.concat(head, message).alias("raw")
     )
 
@@ -150,7 +154,7 @@ def alert_lines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     clock = F.when(e % 97 == 0, F.lit("99:99:99")).otherwise(clock)
     flag = F.when(F.col("value") > ALERT_VALUE, F.lit("ALERT")).otherwise(F.lit("-"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         e.alias("log_id"),
         F.concat_ws(
             " ", flag, e.cast("string"), F.lit("2005.01.01"),
@@ -167,13 +171,16 @@ a AS (
   FROM events)"""
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # ---- document lines -------------------------------------------------------------------
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_id, raw): the lines of all documents in document order."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     ).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("log_id"), "raw")
 
@@ -209,7 +216,7 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words that start with a vowel stay without a vector.
     """
     words = (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
         .filter((F.col("token") != "") & ~F.col("token").rlike("^[aeiou]"))
         .distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logweir.functions.vectors import sum_vectors
 from logweir.operators import splits as P
 from workload.fixtures import (
-    M_SQL, S_SQL, TRAIN, TRAIN_SQL, V_SQL, sequences, sessions, vectors,
+    M_SQL, S_SQL, is_train, TRAIN_SQL, V_SQL, sequences, sessions, vectors,
 )
 from workload.registry import query
 
@@ -78,9 +78,9 @@ def labelled_normals(spark, sf_dir):
 def _shifted(spark, sf_dir):
     """Train has the events of even users, test those of odd users plus marked ones."""
     seq = sequences(spark, sf_dir)
-    train = seq.filter(TRAIN)
+    train = seq.filter(is_train())
     marked = F.when(F.col("pos") == 9, F.concat("event", F.lit("_late"))).otherwise(F.col("event"))
-    return train, seq.filter(~TRAIN).withColumn("event", marked)
+    return train, seq.filter(~is_train()).withColumn("event", marked)
 
 
 SHIFTED_SQL = f"""{M_SQL},

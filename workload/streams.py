@@ -12,7 +12,7 @@ from logweir.session import materialise, scratch_path
 from logweir.streaming import streams as X
 from workload.detectors import NEAR_SQL, _count_vectors, _model
 from workload.features import r
-from workload.fixtures import L_SQL, TRAIN, raw_lines, event_lines, vectors
+from workload.fixtures import L_SQL, is_train, raw_lines, event_lines, vectors
 from workload.registry import query
 from workload.templates import masked_lines
 
@@ -85,8 +85,8 @@ def stream_update_templates(spark, sf_dir):
 def stream_cluster(spark, sf_dir):
     """Clusters of even users first, then the sessions of odd users arrive."""
     data = _count_vectors(spark, sf_dir, "event_type").select("session_id", "session_idx", "vec")
-    start = fit_log_clusters(data.filter(TRAIN), max_dist=0.1)
+    start = fit_log_clusters(data.filter(is_train()), max_dist=0.1)
     updater = X.ClusterUpdater(start, max_dist=0.1)
-    stream = as_stream(data.filter(~TRAIN), batches=2)
+    stream = as_stream(data.filter(~is_train()), batches=2)
     X.run_updates(stream, updater, scratch_path(spark, "stream-state")).awaitTermination()
     return updater.model.representatives.select("cluster", "size")
