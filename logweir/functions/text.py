@@ -6,6 +6,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweir.functions.columns import once
+
 # ---- fixed values -----------------------------------------------------------------
 # the Unicode white space that a whitespace split recognises
 WHITESPACE = (
@@ -119,8 +121,8 @@ def camel_words(c: str | Column) -> Column:
 def extract_keys(lines: DataFrame, message: str, raw: str, regex: str = BLOCK_ID) -> DataFrame:
     """One row per line and key, `key_ord` is the order of the key inside the line."""
     return lines.select(
-        "log_id", F.posexplode(found_keys(message, raw, regex)).alias("key_ord", "key")
-    )
+        "log_id", F.posexplode_outer(found_keys(message, raw, regex)).alias("key_ord", "key")
+    ).filter(F.col("key").isNotNull())
 
 
 def unkeyed_lines(lines: DataFrame, message: str, raw: str, regex: str = BLOCK_ID) -> DataFrame:
@@ -143,11 +145,18 @@ def parse_header(
 
     With ``strict_ts`` rows without a valid timestamp go; their line ids stay used.
     """
-    out = lines.select(
+    split = once(lines, "_t", tokens(raw))
+    at = lambda i: F.get("_t", F.lit(i))
+    gone = [F.lit(p) for p in drop]
+    kept = F.filter("_t", lambda t, i: ~i.isin(gone)) if gone else F.col("_t")
+    out = once(split, "ts", line_time(at(date), at(time)))
+    if strict_ts:
+        out = out.filter(F.col("ts").isNotNull())
+    return out.select(
         *lines.columns,
-        header(raw, flag).alias("alert_flag"),
-        header(raw, node).alias("node"),
-        line_time(header(raw, date), header(raw, time)).alias("ts"),
-        drop_columns(raw, drop).alias("message"),
-    ).withColumn("is_alert", is_alert("alert_flag"))
-    return out.filter(F.col("ts").isNotNull()) if strict_ts else out
+        at(flag).alias("alert_flag"),
+        at(node).alias("node"),
+        "ts",
+        F.array_join(kept, " ").alias("message"),
+        is_alert(at(flag)).alias("is_alert"),
+    )

@@ -10,10 +10,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logweir.functions.columns import explode_once, once
 from logweir.functions.text import camel_words, template_tokens
 from logweir.functions.vectors import sum_vectors, vector_size
+from logweir.session import materialise
 
 OOV = "<oov>"
+# Widest dense form of a vocabulary (a width x width matrix is 512 MB of doubles here).
+MAX_WIDTH = 8192
+
+
+def check_width(width: int) -> None:
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} events; fold rare ones (oov, min_count) below {MAX_WIDTH}")
 
 
 def event_counts(seq: DataFrame) -> DataFrame:
@@ -52,9 +61,10 @@ def zero_mean(x: DataFrame, means: DataFrame) -> DataFrame:
     """(session_id, event, x): dense table minus the train means.
 
     Zeros become non-zero, so every session carries the whole vocabulary: one array of
-    (event, mean) pairs per row, bounded by the vocabulary, is laid beside the counts of
-    the session and exploded.
+    (event, mean) pairs per row is laid beside the counts of the session and exploded. Like
+    every dense form it is limited to ``MAX_WIDTH`` events.
     """
+    check_width(means.count())
     vocabulary = means.agg(F.array_sort(F.collect_list(F.struct("event", "mean")))).scalar()
     sparse = x.groupBy("session_id").agg(
         F.map_from_entries(F.collect_list(F.struct("event", "x"))).alias("_x")
@@ -123,7 +133,7 @@ class CountModel:
                 else counts.withColumn("x", F.col("cnt").cast("double"))
             )
             table = table.join(column_means(x, n), "event")
-        return CountModel(table, weighting, normalisation, oov)
+        return CountModel(materialise(table, "count-model"), weighting, normalisation, oov)
 
     def transform(self, seq: DataFrame) -> DataFrame:
         """(session_id, event, x) with the train vocabulary."""
@@ -146,6 +156,7 @@ def dense_vectors(x: DataFrame, events: list, sessions: DataFrame | None = None)
 
     ``sessions`` adds all-zero vectors for sessions without any known event.
     """
+    check_width(len(events))
     wide = x.groupBy("session_id").pivot("event", events).agg(F.first("x"))
     columns = [F.coalesce(F.col(f"`{e}`"), F.lit(0.0)) for e in events]
     out = wide.select("session_id", F.array(*columns).alias("vec"))
@@ -162,9 +173,12 @@ def dense_vectors(x: DataFrame, events: list, sessions: DataFrame | None = None)
 
 def token_counts(templates: DataFrame, template: str = "template") -> DataFrame:
     """(template_id, token, cnt, n_tokens)."""
-    toks = templates.select("template_id", template_tokens(template).alias("t"))
+    toks = once(templates.select("template_id", template), "t", template_tokens(template))
     return (
-        toks.select("template_id", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
+        explode_once(
+            toks.select("template_id", F.size("t").alias("n_tokens"), "t"),
+            "template_id", "n_tokens", name="token", values=F.col("t"),
+        )
         .groupBy("template_id", "n_tokens", "token")
         .agg(F.count("*").alias("cnt"))
         .select("template_id", "token", "cnt", "n_tokens")
@@ -173,19 +187,23 @@ def token_counts(templates: DataFrame, template: str = "template") -> DataFrame:
 
 def token_idf(templates: DataFrame, template: str = "template") -> DataFrame:
     """(token, cnt, idf) with idf = ln(T / occurrences); occurrences, not templates."""
-    n = templates.agg(F.count("*")).scalar()
-    return (
-        templates.select(F.explode(template_tokens(template)).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("cnt"))
-        .withColumn("idf", F.log(n / F.col("cnt")))
+    occurrences = explode_once(templates, name="token", values=template_tokens(template))
+    return _idf(
+        occurrences.groupBy("token").agg(F.count("*").alias("cnt")),
+        templates.agg(F.count("*")).scalar(),
     )
 
 
+def _idf(counts: DataFrame, n_templates: Column) -> DataFrame:
+    return counts.withColumn("idf", F.log(n_templates / F.col("cnt")))
+
+
 def sub_words(tokens: DataFrame) -> DataFrame:
     """(token, word, times): camel words of every distinct token with multiplicity."""
     return (
-        tokens.select("token").distinct()
-        .select("token", F.explode(camel_words("token")).alias("word"))
+        explode_once(
+            tokens.select("token").distinct(), "token", name="word", values=camel_words("token")
+        )
         .groupBy("token", "word").agg(F.count("*").alias("times"))
     )
 
@@ -227,10 +245,14 @@ def template_vectors(
     A token that occurs c times adds c * (c / n). Templates without tokens get zeros.
     """
     size = vector_size(vectors)
-    counts = token_counts(templates, template)
+    counts = materialise(token_counts(templates, template), "token-counts")
+    idf = _idf(
+        counts.groupBy("token").agg(F.sum("cnt").alias("cnt")),
+        templates.agg(F.count("*")).scalar(),
+    )
     weight = F.col("cnt") * F.col("cnt") / F.col("n_tokens") * F.col("idf")
     weighted = (
-        counts.join(token_idf(templates, template).select("token", "idf"), "token")
+        counts.join(idf.select("token", "idf"), "token")
         .join(word_vectors_mean(counts, vectors, size), "token")
     )
     summed = sum_vectors(weighted, ["template_id"], "vec", weight, size=size)

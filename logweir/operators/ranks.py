@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from logweir.session import scratch_path
+
 SLICES = 4096
 SLICE_ROWS = 4_000_000
 
@@ -52,6 +54,25 @@ def global_index(
     )
 
 
+def sorted_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
+    """0-based rank of every row in the sort order of any columns.
+
+    The rows are written once, sorted by ranges; a row's number is its place in its file plus
+    the rows of the earlier files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "sorted")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    rows = spark.read.schema(df.schema).parquet(path).select(
+        *df.columns, part.alias("_slice"), F.col("_metadata.row_index").alias("_local")
+    )
+    offsets = _earlier(rows.groupBy("_slice").agg(F.count("*").alias("_n")), [])
+    return rows.join(F.broadcast(offsets), "_slice").select(
+        *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(out)
+    )
+
+
 def hash_order(key: str | Column, seed: int) -> Column:
     """Seeded uniform order: the hexadecimal md5 of ``seed:key``."""
     key = F.col(key) if isinstance(key, str) else key

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from logweir.operators.ranks import global_index, hash_index
+from logweir.operators.ranks import global_index, hash_index, sorted_index
 from logweir.operators.sessions import ANOMALOUS, NORMAL
 from logweir.session import materialise
 
@@ -105,24 +105,15 @@ def event_vocabulary(seq: DataFrame) -> DataFrame:
 def event_index(
     train: DataFrame, test: DataFrame | None = None, order: str = "sorted"
 ) -> DataFrame:
-    """(event, idx): train events sorted (or by first appearance), then new test events sorted.
-
-    The numbered table holds one row per distinct event, so its window is over the
-    vocabulary only.
-    """
+    """(event, idx): train events sorted (or by first appearance), then new test events sorted."""
     if order == "first_seen":
-        first = train.groupBy("event").agg(
-            F.min(F.struct("session_idx", "pos")).alias("_at")
-        )
-        ranked = first.select("event", F.lit(0).alias("_part"), "_at")
-        by = [F.col("_part"), F.col("_at")]
-    else:
-        ranked = event_vocabulary(train).withColumn("_part", F.lit(0))
-        by = [F.col("_part"), F.col("event")]
-    if test is not None and order != "first_seen":
+        first = train.groupBy("event").agg(F.min(F.struct("session_idx", "pos")).alias("_at"))
+        return sorted_index(first, "_at").drop("_at")
+    events = event_vocabulary(train).withColumn("_part", F.lit(0))
+    if test is not None:
         new = event_vocabulary(test).join(event_vocabulary(train), "event", "left_anti")
-        ranked = ranked.unionByName(new.withColumn("_part", F.lit(1)))
-    return ranked.select("event", (F.row_number().over(W.orderBy(*by)) - 1).alias("idx"))
+        events = events.unionByName(new.withColumn("_part", F.lit(1)))
+    return sorted_index(events, "_part", "event").drop("_part")
 
 
 def encode_sequences(seq: DataFrame, index: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logweir.functions.columns import once
+
 # ---- fixed values: templates of the block-store log, in match order ----------------
 HDFS_TEMPLATES = [
     r"Adding an already existing block (.*)",
@@ -106,12 +108,13 @@ def match_templates(
 ) -> DataFrame:
     """Adds `template_id`: first match over the ordered catalog, NULL when unmatched.
 
-    ``fallback_col`` is tried for unmatched messages. A narrow projection: no shuffle.
+    ``fallback_col`` is tried for unmatched messages. Row by row, without a shuffle; the
+    patterns run once per line even when the caller filters on the result.
     """
     found = template_id_of(F.col(message), catalog)
     if fallback_col:
         found = F.coalesce(found, template_id_of(F.col(fallback_col), catalog))
-    return lines.withColumn("template_id", found)
+    return once(lines, "template_id", found)
 
 
 def unmatched_lines(matched: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ class CountPca:
     @staticmethod
     def fit(seq: DataFrame, n_components: float = 0.95, threshold: float | None = None, **kw):
         model = CountModel.fit(seq, "tf-idf", **kw)
-        model.table = materialise(model.table, "idf")
         events = [r["event"] for r in model.table.select("event").orderBy("event").collect()]
         vectors = materialise(dense_vectors(model.transform(seq), events), "vectors")
         return CountPca(model, events, PcaDetector.fit(vectors, n_components, threshold=threshold))

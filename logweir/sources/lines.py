@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logweir.functions.text import WHITESPACE, is_alert
 
+# Up to this many input splits their offsets are broadcast (about 200 bytes each).
+BROADCAST_SPLITS = 500_000
+
 
 def read_log_lines(
     spark: SparkSession, path: str, encoding: str = "utf-8"
@@ -32,8 +35,10 @@ def read_log_lines(
     if encoding.lower().replace("-", "").replace("_", "") not in ("utf8",):
         value = F.decode(value.cast("binary"), encoding)
     raw = F.regexp_replace(value, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    if text.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return (
-        text.join(F.broadcast(offsets), block)
+        text.join(offsets, block)
         .select((F.col("_mid") + F.col("_shift")).alias("log_id"), raw.alias("raw"))
         .filter(F.col("raw") != "")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logweir.functions.columns import explode_once
 from logweir.operators.sessions import label_any, session_index, sessions_by_count
 from logweir.session import spread
 
@@ -181,7 +182,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(log_id, raw): the lines of all documents in document order."""
     return documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw")
     ).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("log_id"), "raw")
 
 
@@ -216,8 +217,9 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     Words that start with a vowel stay without a vector.
     """
     words = (
-        documents(spark, sf_dir)
-        .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
+        explode_once(
+            documents(spark, sf_dir), name="token", values=F.split(F.lower("text"), "[^a-z]+")
+        )
         .filter((F.col("token") != "") & ~F.col("token").rlike("^[aeiou]"))
         .distinct()
         .withColumn("vec_id", (F.ascii("token") % 500).cast("bigint"))
