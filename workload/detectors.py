@@ -10,11 +10,12 @@ from logweir.operators import density as D
 from logweir.operators import next_event as N
 from logweir.operators.classify import SessionClassifier
 from logweir.operators.features import CountModel, dense_vectors
+from logweir.operators.evaluate import sweep
 from logweir.operators.ica import IcaModel
 from logweir.operators.pca import gram_rows
 from logweir.operators.splits import encode_sequences, event_index
 from logweir.operators.windows import sliding_windows
-from logweir.plans.detectors import CountPca, SemanticPca
+from logweir.plans.detectors import ClusterDetector, CountPca, PuDetector, SemanticPca
 from logweir.session import materialise
 from workload.features import C_SQL, U_SQL, r, user_sequences, windows_sql
 from workload.fixtures import (
@@ -356,3 +357,33 @@ def soft_classifier(spark, sf_dir):
     labels = D.with_confidence(D.propagate_labels(found, first_half(train)))
     model = SessionClassifier.fit(D.soft_targets(labels), target="class", weight="weight")
     return model.transform(data).select("session_id", r("score", 4).alias("score"), "predicted", "label")
+
+
+# ---- end-to-end plans ------------------------------------------------------------------
+
+
+@query()
+def cluster_detector(spark, sf_dir):
+    """Cosine clusters fitted on half of the normal sessions of even users."""
+    seq = materialise(sequences(spark, sf_dir, "event_type"), "sequences")
+    ids = materialise(sessions(spark, sf_dir), "sessions")
+    model = ClusterDetector.fit(seq.filter(is_train()), ids.filter(is_train()), 0.1, 0.1)
+    return model.transform(seq).join(ids.select("session_id", "label"), "session_id").select(
+        "session_id", "cluster", r("dist").alias("dist"), "predicted", "label"
+    )
+
+
+@query()
+def pu_detector_sweep(spark, sf_dir):
+    """Density-labelled classifier on semantic vectors: F1 on odd users for ten thresholds."""
+    seq = materialise(sequences(spark, sf_dir, "event_type"), "sequences")
+    ids = materialise(sessions(spark, sf_dir), "sessions")
+    names = event_index(seq.select("event"))
+    v = names.join(vectors(spark, sf_dir), F.col("idx") == F.col("vec_id")).select("event", "vec")
+    model = PuDetector.fit(
+        seq.filter(is_train()), ids.filter(is_train()), materialise(v, "event-vectors"),
+        D.DensityLabeller(min_cluster_size=20, min_samples=10), components=4, max_iter=30,
+    )
+    scored = model.score(seq.filter(~is_train())).join(ids, "session_id")
+    swept = sweep(scored, 0.0, 0.1, 11, strict=False)
+    return swept.select("i", "tp", "fp", "fn", r("f1").alias("f1"))
