@@ -57,18 +57,23 @@ def column_means(x: DataFrame, n_sessions: Column | None = None) -> DataFrame:
     return x.groupBy("event").agg((F.sum("x") / n).alias("mean"))
 
 
-def zero_mean(x: DataFrame, means: DataFrame) -> DataFrame:
+def zero_mean(
+    x: DataFrame, means: DataFrame, sessions: DataFrame | None = None
+) -> DataFrame:
     """(session_id, event, x): dense table minus the train means.
 
     Zeros become non-zero, so every session carries the whole vocabulary: one array of
     (event, mean) pairs per row is laid beside the counts of the session and exploded. Like
-    every dense form it is limited to ``MAX_WIDTH`` events.
+    every dense form it is limited to ``MAX_WIDTH`` events. ``sessions`` adds the sessions
+    without any known event.
     """
     check_width(means.count())
     vocabulary = means.agg(F.array_sort(F.collect_list(F.struct("event", "mean")))).scalar()
     sparse = x.groupBy("session_id").agg(
         F.map_from_entries(F.collect_list(F.struct("event", "x"))).alias("_x")
     )
+    if sessions is not None:
+        sparse = sessions.select("session_id").distinct().join(sparse, "session_id", "left")
     return sparse.select("session_id", "_x", F.explode(vocabulary).alias("m")).select(
         "session_id",
         F.col("m.event").alias("event"),
@@ -145,7 +150,7 @@ class CountModel:
         else:
             x = counts.select("session_id", "event", F.col("cnt").cast("double").alias("x"))
         if self.normalisation == "zero-mean":
-            x = zero_mean(x, self.table.select("event", "mean"))
+            x = zero_mean(x, self.table.select("event", "mean"), seq)
         elif self.normalisation == "sigmoid":
             x = sigmoid(x)
         return x
@@ -162,7 +167,7 @@ def dense_vectors(x: DataFrame, events: list, sessions: DataFrame | None = None)
     out = wide.select("session_id", F.array(*columns).alias("vec"))
     if sessions is not None:
         zero = F.array(*[F.lit(0.0)] * len(events))
-        out = sessions.select("session_id").join(out, "session_id", "left").select(
+        out = sessions.select("session_id").distinct().join(out, "session_id", "left").select(
             "session_id", F.coalesce("vec", zero).alias("vec")
         )
     return out

@@ -41,8 +41,11 @@ class CountPca:
         return CountPca(model, events, PcaDetector.fit(vectors, n_components, threshold=threshold))
 
     def transform(self, seq: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-        vectors = dense_vectors(self.features.transform(seq), self.events, sessions)
-        return self.detector.transform(vectors)
+        """Scores of all sessions, also of those without any known event."""
+        ids = seq if sessions is None else sessions
+        return self.detector.transform(
+            dense_vectors(self.features.transform(seq), self.events, ids)
+        )
 
 
 @dataclass
@@ -94,9 +97,8 @@ class ClusterDetector:
         )
 
     def transform(self, seq: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-        return self.model.transform(
-            dense_vectors(self.features.transform(seq), self.events, sessions)
-        )
+        ids = seq if sessions is None else sessions
+        return self.model.transform(dense_vectors(self.features.transform(seq), self.events, ids))
 
 
 @dataclass

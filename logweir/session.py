@@ -34,10 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the cluster names none (unit tests) a local temporary folder is used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "logweir")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or os.path.join(tempfile.gettempdir(), "logweir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

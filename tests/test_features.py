@@ -8,6 +8,7 @@ from logweir.functions.vectors import cosine_distance
 from logweir.operators import features as X
 from logweir.operators.ica import IcaModel
 from logweir.operators.pca import PcaDetector, q_threshold
+from logweir.plans.detectors import CountPca
 from tests.test_sessions import seq_of
 
 
@@ -23,6 +24,16 @@ def test_oov_counts_distinct(spark):
     assert {r["event"]: r["x"] for r in got} == {"1": 1.0, "<oov>": 2.0}
 
 
+def test_sessions_without_known_events_stay(spark):
+    train = seq_of(spark, {"a": [1, 2], "b": [1], "c": [2, 2]})
+    test = seq_of(spark, {"x": [9], "y": [1]})
+    model = X.CountModel.fit(train, None, "zero-mean")
+    got = {(r["session_id"], r["event"]): r["x"] for r in model.transform(test).collect()}
+    assert got[("x", 1)] == pytest.approx(-2 / 3) and got[("x", 2)] == pytest.approx(-1.0)
+    scored = CountPca.fit(train, n_components=1).transform(test).collect()
+    assert {r["session_id"]: r["predicted"] for r in scored}["x"] == "Normal"
+
+
 @pytest.mark.parametrize("weighting", [None, "tf-idf"])
 @pytest.mark.parametrize("normalisation", [None, "zero-mean", "sigmoid"])
 def test_count_model_against_numpy(spark, weighting, normalisation):

@@ -18,7 +18,7 @@ def normalise(df: pd.DataFrame) -> list[tuple]:
     for row in df.itertuples(index=False):
         rows.append(tuple(
             None if v is None or (isinstance(v, float) and v != v)
-            else f"{v:.6g}" if isinstance(v, float) else str(v)
+            else repr(float(v)) if isinstance(v, float) else str(v)
             for v in row
         ))
     return sorted(rows, key=str)

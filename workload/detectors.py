@@ -76,7 +76,7 @@ def pca_semantic_sessions(spark, sf_dir):
 NEAR_SQL = (
     V_SQL
     + """,
-mu AS (SELECT label AS cluster, dim, avg(x) AS x FROM v GROUP BY 1, 2),
+mu AS (SELECT CAST(label AS BIGINT) AS cluster, dim, avg(x) AS x FROM v GROUP BY 1, 2),
 vn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
 mn AS (SELECT cluster, sqrt(sum(x * x)) AS n FROM mu GROUP BY 1),
 dots AS (SELECT vec_id, cluster, sum(v.x * mu.x) AS p FROM v JOIN mu USING (dim) GROUP BY 1, 2),
