@@ -8,6 +8,7 @@ may own a third of all lines.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from logweir.functions.text import BLOCK_ID, extract_keys
 from logweir.operators.ranks import global_index, key_index
@@ -69,9 +70,12 @@ def sessions_by_count(
     )
 
 
-def epoch_seconds(ts: str) -> Column:
-    """Seconds since 1970 of a timestamp with or without zone (session zone UTC)."""
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+def epoch_seconds(lines: DataFrame, ts: str) -> Column:
+    """Seconds since 1970; a timestamp without zone is taken as UTC in any session zone."""
+    if isinstance(lines.schema[ts].dataType, TimestampNTZType):
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.floor(F.timestamp_diff("MICROSECOND", start, F.col(ts)) / 1_000_000)
+    return F.unix_timestamp(ts)
 
 
 def sessions_by_time(
@@ -82,7 +86,7 @@ def sessions_by_time(
     ts: str = "ts",
 ) -> DataFrame:
     """Tumbling time windows from an origin; adds `window_start` (epoch) and `session_id`."""
-    t = epoch_seconds(ts)
+    t = epoch_seconds(lines, ts)
     start = (F.floor((t - origin) / seconds) * seconds + origin).cast("bigint")
     out = lines.withColumn("window_start", start)
     parts = [F.col(partition_by).cast("string")] if partition_by else []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweir.functions.columns import explode_once
 from logweir.operators.sessions import label_any, session_index, sessions_by_count
-from logweir.session import spread
+from logweir.session import materialise, spread
 
 ALERT_VALUE = 200.0
 
@@ -224,7 +224,8 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .withColumn("vec_id", (F.ascii("token") % 500).cast("bigint"))
     )
-    return words.join(vectors(spark, sf_dir), "vec_id").select("token", "vec")
+    found = words.join(vectors(spark, sf_dir), "vec_id").select("token", "vec")
+    return materialise(found, "word-vectors")
 
 
 def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,9 +233,8 @@ def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweir.operators.splits import event_index
 
     index = event_index(event_lines(spark, sf_dir).select(F.col("event_key").alias("event")))
-    return index.join(
-        vectors(spark, sf_dir), F.col("idx") == F.col("vec_id")
-    ).select("event", "vec")
+    found = index.join(vectors(spark, sf_dir), F.col("idx") == F.col("vec_id"))
+    return materialise(found.select("event", "vec"), "event-vectors")
 
 
 V_SQL = """
