@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import oracles
+from logweir.llm import language, oracles, quality_classifier
 from logweir.llm.common import table
 from logweir.llm.decontaminate import contamination
 from logweir.llm.packing import pack
@@ -18,16 +18,28 @@ def op3_decontaminate(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.quality_scores(docs, model)
+
+
 def op7_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.languages(docs, language.fit(docs))
+
+
 def op10_personal_data(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_decontaminate, op7_pack, op10_personal_data,
+    op1_quality_rules, op3_decontaminate, op4_quality_classifier, op7_pack, op9_language,
+    op10_personal_data,
 )}
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY_RULES,
