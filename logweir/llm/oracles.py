@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import decontaminate, quality_rules as rules
+from logweir.llm import decontaminate, line_templates, quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,5 +110,59 @@ FROM doc_lists LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _line_templates() -> str:
+    least, lead = line_templates.MIN_DOCS, line_templates.LEADING
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+    string_split(regexp_replace(text, '[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) AS masked
+  FROM documents
+),
+classes AS (
+  SELECT doc_id, list_min(list_transform(parts, lambda x: md5('1' || x)))
+    || list_min(list_transform(parts, lambda x: md5('2' || x))) AS class FROM docs
+),
+lines AS (
+  SELECT doc_id, unnest(masked) AS body, generate_subscripts(masked, 1) AS line FROM docs
+),
+split AS (
+  SELECT doc_id, line, regexp_extract_all(body, {WORDS}) AS tokens FROM lines
+),
+leaves AS (
+  SELECT *, array_to_string(tokens, ' ') AS message,
+    len(tokens) || ' ' || array_to_string(tokens[1:{lead}], ' ') AS leaf
+  FROM split WHERE len(tokens) >= {line_templates.MIN_TOKENS}
+),
+places AS (
+  SELECT leaf, message, doc_id, line, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM leaves
+),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY leaf, place, token) >= {least} AS constant FROM places
+),
+templates AS (
+  SELECT leaf, doc_id, line,
+    string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
+  FROM counted GROUP BY ALL HAVING 2 * count(*) FILTER (constant) >= count(*)
+),
+recurring AS (
+  SELECT leaf, template FROM templates JOIN classes USING (doc_id) GROUP BY ALL
+  HAVING count(DISTINCT doc_id) >= {least} AND 2 * count(DISTINCT class) >= count(DISTINCT doc_id)
+),
+cut AS (SELECT doc_id, line FROM templates SEMI JOIN recurring USING (leaf, template)),
+originals AS (
+  SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS line FROM docs
+),
+kept AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS body
+  FROM originals ANTI JOIN cut USING (doc_id, line) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines,
+  coalesce((SELECT count(*) FROM cut WHERE cut.doc_id = docs.doc_id), 0)::BIGINT AS n_dropped,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUALITY_RULES = _quality_rules()
 DECONTAMINATE = _decontaminate()
+LINE_TEMPLATES = _line_templates()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from logweir.llm import language, oracles, quality_classifier
 from logweir.llm.common import table
 from logweir.llm.decontaminate import contamination
+from logweir.llm.line_templates import drop_recurring_lines
 from logweir.llm.packing import pack
 from logweir.llm.personal_data import personal_data
 from logweir.llm.quality_rules import repetition_rules
@@ -14,6 +17,13 @@ def op1_quality_rules(spark, sf_dir):
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_line_templates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs, counts=True).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op3_decontaminate(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,10 +48,11 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_decontaminate, op4_quality_classifier, op7_pack, op9_language,
+    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op7_pack, op9_language,
     op10_personal_data,
 )}
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY_RULES,
+    "op2_line_templates": oracles.LINE_TEMPLATES,
     "op3_decontaminate": oracles.DECONTAMINATE,
 }
