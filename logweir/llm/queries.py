@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweir.llm import language, oracles, quality_classifier
+from logweir.llm import hidden_markov, language, oracles, quality_classifier
 from logweir.llm.common import table
 from logweir.llm.decontaminate import contamination
 from logweir.llm.line_templates import drop_recurring_lines
@@ -34,6 +34,10 @@ def op4_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_scores(docs, model)
 
 
+def op5_hidden_markov(spark, sf_dir):
+    return hidden_markov.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op7_pack, op9_language,
+    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op5_hidden_markov, op7_pack, op9_language,
     op10_personal_data,
 )}
 ORACLES = {
