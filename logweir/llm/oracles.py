@@ -163,6 +163,42 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
+def _minhash(width: int = 4) -> str:
+    body = LOWER.format("coalesce(text, '')")
+    return f"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, regexp_extract_all({body}, {WORDS}) AS ws FROM documents
+),
+places AS (
+  SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM lists
+),
+grams AS (
+  SELECT doc_id, {gram(width)} AS g FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+sets AS (
+  SELECT DISTINCT doc_id, g FROM grams WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM lists WHERE len(ws) BETWEEN 1 AND {width - 1}
+),
+sizes AS (SELECT doc_id, count(*) AS size FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+pairs AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * n_both >= 80 * (p.size + q.size - n_both)
+),
+edges AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT node, y FROM reach JOIN edges ON seen = x
+)
+SELECT doc_id, coalesce(size, 0)::BIGINT AS n_shingles, min(seen) AS component_id, doc_id = min(seen) AS kept
+FROM documents JOIN reach ON node = doc_id LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, size
+"""
+
+
 QUALITY_RULES = _quality_rules()
 DECONTAMINATE = _decontaminate()
 LINE_TEMPLATES = _line_templates()
+MINHASH = _minhash()

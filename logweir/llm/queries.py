@@ -8,6 +8,7 @@ from logweir.llm import hidden_markov, language, oracles, quality_classifier
 from logweir.llm.common import table
 from logweir.llm.decontaminate import contamination
 from logweir.llm.line_templates import drop_recurring_lines
+from logweir.llm.minhash import near_duplicates
 from logweir.llm.packing import pack
 from logweir.llm.personal_data import personal_data
 from logweir.llm.quality_rules import repetition_rules
@@ -38,6 +39,10 @@ def op5_hidden_markov(spark, sf_dir):
     return hidden_markov.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -52,11 +57,12 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op5_hidden_markov, op7_pack, op9_language,
+    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op5_hidden_markov, op6_minhash, op7_pack, op9_language,
     op10_personal_data,
 )}
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY_RULES,
     "op2_line_templates": oracles.LINE_TEMPLATES,
+    "op6_minhash": oracles.MINHASH,
     "op3_decontaminate": oracles.DECONTAMINATE,
 }
