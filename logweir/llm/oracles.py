@@ -198,7 +198,34 @@ FROM documents JOIN reach ON node = doc_id LEFT JOIN sizes USING (doc_id) GROUP
 """
 
 
+def _repeats(width: int = 13) -> str:
+    return f"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS ws FROM documents
+),
+places AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM lists),
+grams AS (
+  SELECT doc_id, pos, word, {gram(width)} AS g FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+),
+seen AS (
+  SELECT doc_id, pos, word, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS again FROM grams
+),
+marks AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {width - 1} PRECEDING
+    AND CURRENT ROW) AS gone FROM seen
+),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS body FROM marks GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(body, '')) AS kept_sha256
+FROM lists LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUALITY_RULES = _quality_rules()
 DECONTAMINATE = _decontaminate()
 LINE_TEMPLATES = _line_templates()
 MINHASH = _minhash()
+REPEATS = _repeats()

@@ -12,6 +12,7 @@ from logweir.llm.minhash import near_duplicates
 from logweir.llm.packing import pack
 from logweir.llm.personal_data import personal_data
 from logweir.llm.quality_rules import repetition_rules
+from logweir.llm.repeats import remove_repeats
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -47,6 +48,10 @@ def op7_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.languages(docs, language.fit(docs))
@@ -57,12 +62,13 @@ def op10_personal_data(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op5_hidden_markov, op6_minhash, op7_pack, op9_language,
-    op10_personal_data,
+    op1_quality_rules, op2_line_templates, op3_decontaminate, op4_quality_classifier, op5_hidden_markov, op6_minhash, op7_pack, op8_repeats,
+    op9_language, op10_personal_data,
 )}
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY_RULES,
     "op2_line_templates": oracles.LINE_TEMPLATES,
     "op6_minhash": oracles.MINHASH,
+    "op8_repeats": oracles.REPEATS,
     "op3_decontaminate": oracles.DECONTAMINATE,
 }
