@@ -127,8 +127,8 @@ class LogClusterModel:
 
 
 def _bootstrap(spark, points: DataFrame, max_dist: float, first_id: int, n: int):
-    """Representatives of the first ``n`` points and the last point order they cover."""
-    rows = points.orderBy("ord").limit(n).collect()
+    """Representatives of the first ``n`` points (ties by vector), and the vectors they cover."""
+    rows = points.orderBy("ord", "vec").limit(n).collect()
     x = np.array([r["vec"] for r in rows], dtype=float)
     w = np.array([r["n"] for r in rows], dtype=float)
     owner = complete_linkage(x, max_dist)
@@ -138,7 +138,8 @@ def _bootstrap(spark, points: DataFrame, max_dist: float, first_id: int, n: int)
         center = (x[mine] * w[mine, None]).sum(axis=0) / w[mine].sum()
         made.append((first_id + c, center.tolist(), int(w[mine].sum())))
     table = spark.createDataFrame(made, "cluster bigint, vec array<double>, size bigint")
-    return table, rows[-1]["ord"], len(made)
+    taken = spark.createDataFrame([(r["vec"],) for r in rows], "vec array<double>")
+    return table, taken, len(made)
 
 
 def fit_log_clusters(
@@ -188,8 +189,8 @@ def fit_log_clusters(
             rest = near.filter(F.col("dist") > max_dist).select("vec", "n", "ord")
             if rest.isEmpty():
                 break
-        opened, last, count = _bootstrap(spark, rest, max_dist, next_id, bootstrap)
+        opened, taken, count = _bootstrap(spark, rest, max_dist, next_id, bootstrap)
         reps = materialise(reps.unionByName(opened), "representatives")
         next_id += count
-        rest = materialise(rest.filter(F.col("ord") > last), "rest")
+        rest = materialise(rest.join(F.broadcast(taken), "vec", "left_anti"), "rest")
     return LogClusterModel(materialise(reps, "representatives"), anomaly_threshold)

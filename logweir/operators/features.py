@@ -132,12 +132,19 @@ class CountModel:
         if oov:
             counts = fold_unseen(counts, frequent_events(counts, min_count), oov=True)
         table = fit_idf(counts, n)
+        if oov:
+            # Unseen events of later sessions need the entry even if no train event was rare.
+            entry = seq.sparkSession.range(1).select(
+                F.lit(OOV).alias("event"), F.lit(0).cast("bigint").alias("df"),
+                F.log(n / F.lit(1e-8)).alias("idf"),
+            )
+            table = table.unionByName(entry.join(table, "event", "left_anti"))
         if normalisation == "zero-mean":
             x = (
                 tfidf(counts, table) if weighting == "tf-idf"
                 else counts.withColumn("x", F.col("cnt").cast("double"))
             )
-            table = table.join(column_means(x, n), "event")
+            table = table.join(column_means(x, n), "event", "left").fillna(0.0, ["mean"])
         return CountModel(materialise(table, "count-model"), weighting, normalisation, oov)
 
     def transform(self, seq: DataFrame) -> DataFrame:

@@ -63,7 +63,11 @@ def sorted_index(df: DataFrame, *order: str, out: str = "idx") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    # A task writes several files where the session limits the rows of a file.
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("bigint") * 1_000_000 + F.coalesce(
+        F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("bigint"), F.lit(0)
+    )
     rows = spark.read.schema(df.schema).parquet(path).select(
         *df.columns, part.alias("_slice"), F.col("_metadata.row_index").alias("_local")
     )

@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 BLOCK = 65_536
-KEY_EVENTS = 1_000
 
 
 def sliding_windows(
     seq: DataFrame, h: int = 10, step: int = 1, event: str = "event", block: int = BLOCK
 ) -> DataFrame:
-    """(session_id, pos, window, next_event): h events and the one after them."""
+    """(session_id, pos, window, next_event): h events and the one after them.
+
+    A block is never shorter than the window, so the events a block needs lie in the next one.
+    """
+    block = max(block, h)
     home = F.floor(F.col("pos") / block)
     halo = (F.col("pos") % block < h) & (F.col("pos") >= block)
     copies = F.when(halo, F.array(home, home - 1)).otherwise(F.array(home))
@@ -79,23 +82,16 @@ def event_arrays(seq: DataFrame, size: int = 500, event: str = "event") -> DataF
 def sequence_keys(seq: DataFrame, event: str = "event") -> DataFrame:
     """(session_id, n, seq_key): equal keys mean equal sequences.
 
-    Up to 1,000 events the key is the text of the sequence. A longer sequence is keyed by
-    its length and a 128-bit sum of position-event hashes, which needs no collected row.
+    A sequence of any length is keyed by its length and a 128-bit sum of position-event
+    hashes, which needs no collected row.
     """
-    head = F.col("pos") < KEY_EVENTS
-    item = F.when(head, F.struct("pos", F.col(event).cast("string").alias("e")))
     wide = F.lit(0).cast("decimal(38,0)")
     agg = seq.groupBy("session_id").agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_list(item)).alias("_head"),
         F.sum(wide + F.xxhash64("pos", event)).alias("_h1"),
         F.sum(wide + F.xxhash64(event, "pos", F.lit(1))).alias("_h2"),
     )
-    text = F.array_join(F.col("_head.e"), " ")
-    print_ = F.concat_ws(":", F.lit("#"), "n", "_h1", "_h2")
-    return agg.select(
-        "session_id", "n", F.when(F.col("n") <= KEY_EVENTS, text).otherwise(print_).alias("seq_key")
-    )
+    return agg.select("session_id", "n", F.concat_ws(":", "n", "_h1", "_h2").alias("seq_key"))
 
 
 def distinct_sequences(seq: DataFrame, event: str = "event") -> DataFrame:

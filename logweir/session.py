@@ -31,10 +31,14 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (unit tests) a local temporary folder is used.
+    Where it names none, a local session (tests) uses a temporary folder; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or os.path.join(tempfile.gettempdir(), "logweir")
+    if path:
+        return path
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "logweir")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,27 +1,35 @@
 """Text codecs of the intermediate files: labels, sequences, templates, vectors, results.
 
-A sequence is one text line. A session longer than ``PART`` items continues on further lines
-whose key carries `#1`, `#2`, …, so no task builds a line of unbounded length.
+A session longer than ``PART`` items continues on further lines with the same key, in order, so no
+task builds a line of unbounded length. Session ids are written as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from logweir.functions.text import tokens
 from logweir.operators.sessions import ANOMALOUS
 
 PART = 10_000
+TEMPLATE_LINE = r"^\s*([^,]*),(.*?)\s*$"
 
 
 def _matched(spark: SparkSession, path: str, pattern: str, *columns) -> DataFrame:
-    line = spark.read.text(path).filter(F.trim("value") != "")
+    """Fields of the lines that match; a field that cannot be cast is null."""
+    line = spark.read.text(path).filter(F.col("value").rlike(pattern))
     return line.select(*[
-        F.regexp_extract("value", pattern, i + 1).cast(kind).alias(name)
+        F.regexp_extract("value", pattern, i + 1).try_cast(kind).alias(name)
         for i, (name, kind) in enumerate(columns)
     ])
 
 
+def unmatched_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(value) of the lines that are not blank and do not match, for a report."""
+    line = spark.read.text(path)
+    return line.filter((F.trim("value") != "") & ~F.col("value").rlike(pattern))
+
+
 def read_labels(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """(session_id, label) of `block,label` or `block:label`; `Anomaly` becomes `Anomalous`."""
     pattern = rf"^\s*([^{sep}]*){sep}([^{sep}\s]*)"
@@ -35,45 +43,57 @@ def write_labels(labels: DataFrame, path: str, sep: str = ":") -> None:
 
 
 def _parts(seq: DataFrame, item: str) -> DataFrame:
-    """(key, items): the text of every part of a sequence."""
+    """(session_id, part, items): the text of every part of a sequence."""
     part = F.floor(F.col("pos") / PART)
     grouped = seq.groupBy("session_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.col(item).cast("string").alias("i")))).alias("p")
     )
-    sid = F.col("session_id").cast("string")
-    key = F.when(F.col("part") == 0, sid).otherwise(
-        F.concat_ws("#", sid, F.col("part").cast("string"))
-    )
-    return grouped.select("session_id", key.alias("key"), F.array_join("p.i", " ").alias("items"))
+    return grouped.select("session_id", "part", F.array_join("p.i", " ").alias("items"))
+
+
+def _write_in_order(parts: DataFrame, text, path: str) -> None:
+    """The parts of a session stay together and in order, over the files in name order."""
+    ordered = parts.repartitionByRange("session_id", "part").sortWithinPartitions("session_id", "part")
+    ordered.select(text).write.text(path)
 
 
 def write_sequences(seq: DataFrame, path: str, item: str = "log_id") -> None:
     """`session:id id …` lines of (session_id, pos, item)."""
-    _parts(seq, item).select(F.concat_ws(":", "key", "items")).write.text(path)
+    line = F.concat_ws(":", F.col("session_id").cast("string"), "items")
+    _write_in_order(_parts(seq, item), line, path)
 
 
 def read_sequences(
     spark: SparkSession, path: str, item: str = "log_id", kind: str = "bigint"
 ) -> DataFrame:
-    """(session_id, pos, item) of `session:id id …` lines."""
-    rows = _matched(
-        spark, path, r"^(.*?)(?:#([0-9]+))?:(.*)$",
-        ("session_id", "string"), ("part", "string"), ("items", "string"),
+    """(session_id, pos, item) of `session:id id …` lines.
+
+    The id ends at the first colon. Further lines of a session continue it in the order of the files
+    and lines.
+    """
+    pattern = r"^([^:]*):(.*)$"
+    place = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
-    part = F.when(F.col("part") == "", F.lit(0)).otherwise(F.expr("try_cast(part AS BIGINT)"))
-    return rows.select(
-        "session_id", part.alias("part"), F.posexplode(tokens("items")).alias("at", "i")
+    rows = spark.read.text(path).select("value", place.alias("place")).filter(
+        F.col("value").rlike(pattern)
     ).select(
+        F.regexp_extract("value", pattern, 1).alias("session_id"), "place",
+        tokens(F.regexp_extract("value", pattern, 2)).alias("items"),
+    )
+    earlier = W.partitionBy("session_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.withColumn("before", F.coalesce(F.sum(F.size("items")).over(earlier), F.lit(0)))
+    return before.select("session_id", "before", F.posexplode("items").alias("at", "i")).select(
         "session_id",
-        (F.col("part") * PART + F.col("at")).cast("bigint").alias("pos"),
-        F.col("i").cast(kind).alias(item),
+        (F.col("before") + F.col("at")).cast("bigint").alias("pos"),
+        F.col("i").try_cast(kind).alias(item),
     )
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """(template_id, template) of `id,template`; a template may hold commas."""
     return _matched(
-        spark, path, r"^\s*([^,]*),(.*?)\s*$", ("template_id", "int"), ("template", "string")
+        spark, path, TEMPLATE_LINE, ("template_id", "int"), ("template", "string")
     )
 
 
@@ -134,11 +154,20 @@ def write_event_vectors(vectors: DataFrame, path: str) -> None:
 def write_instances(
     seq: DataFrame, sessions: DataFrame, path: str, item: str = "event"
 ) -> None:
-    """Sequence line, then `id,label[,predicted,confidence]`, then a blank line."""
+    """Sequence line, then `id,label[,predicted,confidence]`, then a blank line.
+
+    A session above ``PART`` items has several sequence lines before the one with its id.
+    """
     fields = ["label"] + [c for c in ("predicted", "confidence") if c in sessions.columns]
-    rows = _parts(seq, item).join(sessions.select("session_id", *fields), "session_id")
-    tail = F.concat_ws(",", "key", *[F.col(c).cast("string") for c in fields])
-    rows.select(F.concat(F.col("items"), F.lit("\n"), tail, F.lit("\n"))).write.text(path)
+    last = seq.groupBy("session_id").agg(F.floor(F.max("pos") / PART).alias("last"))
+    rows = _parts(seq, item).join(
+        sessions.select("session_id", *fields).join(last, "session_id"), "session_id"
+    )
+    tail = F.concat_ws(",", *[F.col(c).cast("string") for c in ("session_id", *fields)])
+    line = F.when(F.col("part") < F.col("last"), F.col("items")).otherwise(
+        F.concat(F.col("items"), F.lit("\n"), tail, F.lit("\n"))
+    )
+    _write_in_order(rows, line, path)
 
 
 def write_pu_labels(labels: DataFrame, path: str) -> None:

@@ -143,3 +143,12 @@ def test_sweep(spark, strict):
         best = max(best, (r["f1"], -r["threshold"]), key=lambda b: (b[0], b[1]))
     row = E.best_threshold(E.sweep(df, 0.0, 0.1, 11, strict)).first()
     assert (row["f1"], -row["threshold"]) == best
+
+
+def test_tied_orders_keep_every_vector(spark):
+    from logweir.operators.clusters import fit_log_clusters
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [-1.0, 0.0]), (None, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "session_idx bigint, vec array<double>")
+    model = fit_log_clusters(df, bootstrap=1)
+    assert model.representatives.agg({"size": "sum"}).first()[0] == 4

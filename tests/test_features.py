@@ -114,3 +114,18 @@ def test_ica_separates_sources(spark):
     out = (x - model.mean) @ model.components.T
     corr = np.abs(np.corrcoef(out.T, sources.T)[:2, 2:])
     assert sorted(np.argmax(corr, axis=1)) == [0, 1] and corr.max(axis=1).min() > 0.98
+
+
+def test_oov_entry_without_rare_train_events(spark):
+    from math import log
+
+    from logweir.operators.features import OOV, CountModel
+
+    rows = [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "x"), ("b", 1, "y")]
+    train = spark.createDataFrame(rows, "session_id string, pos bigint, event string")
+    test = spark.createDataFrame([("c", 0, "x"), ("c", 1, "new"), ("c", 2, "newer")], train.schema)
+    got = CountModel.fit(train, "tf-idf", oov=True).transform(test).collect()
+    found = {r["event"]: r["x"] for r in got}
+    assert abs(found[OOV] - 2 * log(2 / 1e-8)) < 1e-9
+    centred = CountModel.fit(train, "tf-idf", "zero-mean", oov=True).transform(test).collect()
+    assert abs({r["event"]: r["x"] for r in centred}[OOV] - 2 * log(2 / 1e-8)) < 1e-9

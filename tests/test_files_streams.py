@@ -11,7 +11,7 @@ from tests.test_sessions import seq_of
 
 def test_long_sequences_continue_on_further_lines(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(A, "PART", 7)
-    sessions = {"a": list(range(20)), "b:c"[:1]: [3], "d": [1] * 7}
+    sessions = {"a": list(range(20)), "b": [3], "d": [1] * 7, "job#3": list(range(9)), "job": [5, 6], "#1": [2]}
     seq = seq_of(spark, sessions)
     path = str(tmp_path / "seq")
     A.write_sequences(seq, path, "event")
@@ -43,6 +43,21 @@ def test_instance_lines(spark, tmp_path):
     assert text == "4 2\na,Normal,Anomalous,0.5\n\n"
 
 
+def test_long_instances_have_one_id_line(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(A, "PART", 2)
+    sessions = spark.createDataFrame([("a#1", "Normal"), ("b", "Anomalous")], "session_id string, label string")
+    A.write_instances(seq_of(spark, {"a#1": [4, 2, 7], "b": [1]}), sessions, str(tmp_path / "i"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "i").glob("part-*")))
+    assert text == "4 2\n7\na#1,Normal\n\n1\nb,Anomalous\n\n"
+
+
+def test_malformed_lines_are_reported_not_read(spark, tmp_path):
+    path = tmp_path / "t"
+    path.write_text("0,a b\nno separator\nx,c\n\n")
+    assert {tuple(r) for r in A.read_templates(spark, str(path)).collect()} == {(0, "a b"), (None, "c")}
+    assert [r.value for r in A.unmatched_lines(spark, str(path), A.TEMPLATE_LINE).collect()] == ["no separator"]
+
+
 def test_late_lines_are_dropped_after_the_watermark(spark):
     path = scratch_path(spark, "late")
     day = "2024-01-01 "

@@ -278,4 +278,10 @@ def distinct_sequences(spark, sf_dir):
         F.concat("l_returnflag", "l_linestatus").alias("event"),
     )
     seq = key_index(lines, "session_id", "l_linenumber", ["l_partkey", "l_suppkey"])
-    return G.distinct_sequences(seq)
+    text = seq.groupBy("session_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("pos", "event")))["event"], " ").alias("text")
+    )
+    same = G.sequence_keys(seq).join(text, "session_id").groupBy("seq_key")
+    return same.agg(F.min("text").alias("text"), F.count("*").alias("n")).select(
+        F.col("text").alias("seq_key"), "n"
+    )
