@@ -82,3 +82,59 @@ def test_late_lines_are_dropped_after_the_watermark(spark):
      .trigger(availableNow=True).start().awaitTermination())
     got = {r["window_start"].hour: (r["n"], r["label"]) for r in spark.read.parquet(out).collect()}
     assert got == {0: (2, "Anomalous"), 3: (1, "Normal"), 4: (2, "Normal")}
+
+
+def test_updaters_continue_after_a_restart(spark, tmp_path):
+    from logweir.operators.clusters import fit_log_clusters
+    from logweir.operators.mining import mine_templates
+
+    lines = spark.createDataFrame(
+        [(0, "open file now"), (1, "close socket 7 again"), (2, "open file now"), (3, "send all data out soon")],
+        "log_id bigint, message string",
+    )
+    batch = lambda *ids: lines.filter(F.col("log_id").isin(*ids))
+    start = mine_templates(batch(0)).templates
+    first = X.TemplateUpdater(start, path=str(tmp_path / "t"))
+    first(batch(1), 0)
+    second = X.TemplateUpdater(start, path=str(tmp_path / "t"))
+    second(batch(1), 0)  # replayed
+    second(batch(2, 3), 1)
+    found = {r["template"]: r["n"] for r in second.templates.collect()}
+    assert found == {"open file now": 2, "close socket 7 again": 1, "send all data out soon": 1}
+
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])]
+    vectors = spark.createDataFrame(rows, "session_idx bigint, vec array<double>")
+    model = fit_log_clusters(vectors.filter("session_idx = 0"))
+    X.ClusterUpdater(model, path=str(tmp_path / "c"))(vectors.filter("session_idx = 1"), 0)
+    again = X.ClusterUpdater(model, path=str(tmp_path / "c"))
+    again(vectors.filter("session_idx = 1"), 0)
+    again(vectors.filter("session_idx = 2"), 1)
+    assert sorted(r["size"] for r in again.model.representatives.collect()) == [1, 2]
+
+
+def test_saved_models_score_alike(spark, tmp_path):
+    from logweir import models
+    from logweir.plans.detectors import ClusterDetector, CountPca
+    from logweir.plans.next_events import NextEventDetector, QuantityDetector, SupervisedDetector
+
+    sessions = {f"s{k}": [k % 3, 1, 2, k % 2, 1, 0, 2, 1] for k in range(12)}
+    seq = seq_of(spark, sessions)
+    labels = spark.createDataFrame(
+        [(s, k, "Anomalous" if k % 4 == 3 else "Normal") for k, s in enumerate(sessions)],
+        "session_id string, session_idx bigint, label string",
+    )
+    vectors = spark.createDataFrame([(k, [float(k == 0), float(k), 1.0]) for k in range(3)], "event int, vec array<double>")
+    fitted = [
+        CountPca.fit(seq), ClusterDetector.fit(seq, labels), NextEventDetector.fit(seq, labels, h=2, candidates=1),
+        QuantityDetector.fit(seq, labels, h=2, candidates=1, hidden=4, max_iter=5),
+        SupervisedDetector.fit(seq, labels, vectors),
+    ]
+    rows = lambda m: sorted(map(str, m.transform(seq).collect()))
+    for k, model in enumerate(fitted):
+        models.save(spark, model, str(tmp_path / str(k)))
+        assert rows(models.load(spark, str(tmp_path / str(k)))) == rows(model)
+    whole = fitted[2].transform(seq).join(labels, "session_id")
+    from logweir.operators.evaluate import confusion, prf
+
+    assert fitted[2].evaluate(seq, labels).collect() == prf(confusion(whole)).collect()
+    assert fitted[4].evaluate(seq, labels).count() == fitted[3].evaluate(seq, labels).count() == 1

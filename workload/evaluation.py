@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from logweir.operators import evaluate as E
 from logweir.operators.sessions import label_of
 from logweir.operators.windows import sequence_keys
+from logweir.session import materialise
 from workload.detectors import (
-    NEAR_SQL, PU_SQL, RANKED_SQL, _model, conformance_flags, pu,
+    NEAR_SQL, PU_SQL, RANKED_SQL, _labels, _model, conformance_flags, pu,
 )
 from workload.features import r
-from workload.fixtures import table, vectors
+from workload.fixtures import is_train, sequences, table, vectors
 from workload.registry import query
 
 CF_SQL = f"""{RANKED_SQL},
@@ -52,6 +53,21 @@ def prf(spark, sf_dir):
     return _rounded(E.prf(E.confusion(conformance_flags(spark, sf_dir))))
 
 
+@query(f"WITH {CF_SQL}, k AS ({counts_sql('f')}) {prf_sql()}")
+def next_event_plan(spark, sf_dir):
+    """Fit, save, load and evaluate on distinct sequences with their multiplicity."""
+    from logweir import models
+    from logweir.plans.next_events import NextEventDetector
+    from logweir.session import scratch_path
+
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    labels = materialise(_labels(spark, sf_dir), "labels")
+    fitted = NextEventDetector.fit(seq.filter(is_train()), labels, h=2, candidates=20, backoff=False)
+    path = scratch_path(spark, "model")
+    models.save(spark, fitted, path)
+    return _rounded(models.load(spark, path).evaluate(seq, labels))
+
+
 @query(f"WITH {CF_SQL}, k AS ({counts_sql('f')}) {prf_sql(100)}")
 def prf_percent(spark, sf_dir):
     return _rounded(E.prf(E.confusion(conformance_flags(spark, sf_dir)), scale=100.0))

@@ -105,6 +105,25 @@ def transform_unseen_oov(spark, sf_dir):
     return X.CountModel.fit(train, oov=True).transform(test)
 
 
+@query(f"""WITH {SHIFTED_SQL},
+trc AS (SELECT session_id, event, count(*) AS cnt FROM tr GROUP BY 1, 2),
+keep AS (SELECT event FROM trc GROUP BY event HAVING count(*) >= 2),
+trf AS (SELECT session_id, event, cnt FROM trc WHERE event IN (SELECT event FROM keep)
+  UNION ALL SELECT session_id, '<oov>', count(*) FROM trc WHERE event NOT IN (SELECT event FROM keep) GROUP BY 1),
+dfs AS (SELECT event, count(*) AS df FROM trf GROUP BY event
+  UNION ALL SELECT '<oov>', 0 WHERE NOT EXISTS (SELECT 1 FROM trf WHERE event = '<oov>')),
+ti AS (SELECT event, ln((SELECT count(DISTINCT session_id) FROM tr) / (df + CAST(1e-8 AS DOUBLE))) AS idf FROM dfs),
+tc AS (SELECT session_id, event, count(*) AS cnt FROM te GROUP BY 1, 2),
+tf AS (SELECT session_id, event, cnt FROM tc WHERE event IN (SELECT event FROM keep)
+  UNION ALL SELECT session_id, '<oov>', count(*) FROM tc WHERE event NOT IN (SELECT event FROM keep) GROUP BY 1)
+SELECT session_id, event, round(cnt * idf, 6) + 0.0 AS x FROM tf JOIN ti USING (event)""")
+def tfidf_oov(spark, sf_dir):
+    """Fitted tf-idf with folded rare events; unseen events count as `<oov>` in any case."""
+    train, test = _shifted(spark, sf_dir)
+    out = X.CountModel.fit(train, "tf-idf", oov=True, min_count=2).transform(test)
+    return out.select("session_id", "event", r("x").alias("x"))
+
+
 def _templates(spark, sf_dir):
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("template_id"), F.col("text").alias("template")
