@@ -39,15 +39,20 @@ def sum_vectors(
     vec: str = "vec",
     weight: Column | None = None,
     mean: bool = False,
-    size: int | None = None,
 ) -> DataFrame:
-    """Element-wise (weighted) sum or mean per key, combined before the shuffle.
+    """Element-wise (weighted) sum or mean per key of the vectors that are not null.
 
-    One sum per dimension, so nothing is exploded and nothing is collected.
+    One aggregate of whole vectors, combined before the shuffle: nothing is exploded or collected, and the plan does not grow
+    with the width. Weights may be negative.
     """
-    size = vector_size(df, vec) if size is None else size
-    agg = F.avg if mean else F.sum
-    value = (lambda i: F.col(vec)[i]) if weight is None else (lambda i: F.col(vec)[i] * weight)
-    sums = [agg(value(i)).alias(f"_s{i}") for i in range(size)]
-    out = df.groupBy(*keys).agg(*sums)
-    return out.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(size)]).alias(vec))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    value = F.col(vec) if weight is None else F.transform(vec, lambda x: x * F.col("_weight"))
+    rows = df.filter(F.col(vec).isNotNull())
+    if weight is not None:
+        rows = rows.withColumn("_weight", weight.cast("double"))
+    added = rows.select(*keys, array_to_vector(value).alias("_v")).groupBy(*keys).agg(
+        (Summarizer.mean if mean else Summarizer.sum)(F.col("_v")).alias("_v")
+    )
+    return added.select(*keys, vector_to_array("_v").alias(vec))

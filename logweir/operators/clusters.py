@@ -160,7 +160,6 @@ def fit_log_clusters(
     rest = materialise(
         df.groupBy("vec").agg(F.count("*").alias("n"), F.min(order).alias("ord")), "vectors"
     )
-    size = vector_size(rest)
     reps = start
     if reps is None:
         reps = spark.createDataFrame([], "cluster bigint, vec array<double>, size bigint")
@@ -169,7 +168,7 @@ def fit_log_clusters(
         if next_id:
             near = materialise(nearest(rest, reps), "assigned")
             joined = near.filter(F.col("dist") <= max_dist)
-            added = sum_vectors(joined, ["cluster"], "vec", F.col("n"), size=size).join(
+            added = sum_vectors(joined, ["cluster"], "vec", F.col("n")).join(
                 joined.groupBy("cluster").agg(F.sum("n").alias("m")), "cluster"
             )
             moved = (

@@ -220,18 +220,15 @@ def sub_words(tokens: DataFrame) -> DataFrame:
     )
 
 
-def word_vectors_mean(
-    tokens: DataFrame, vectors: DataFrame, size: int | None = None
-) -> DataFrame:
+def word_vectors_mean(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     """(token, vec): sum of the found sub-word vectors over the number of sub-words.
 
     Tokens without any known word are absent (a zero vector adds nothing).
     """
     words = sub_words(tokens)
     totals = words.groupBy("token").agg(F.sum("times").alias("n_words"))
-    size = vector_size(vectors) if size is None else size
     found = words.join(vectors.select(F.col("token").alias("word"), "vec"), "word")
-    summed = sum_vectors(found, ["token"], "vec", F.col("times"), size=size)
+    summed = sum_vectors(found, ["token"], "vec", F.col("times"))
     return summed.join(totals, "token").select(
         "token", F.transform("vec", lambda v: v / F.col("n_words")).alias("vec")
     )
@@ -265,9 +262,9 @@ def template_vectors(
     weight = F.col("cnt") * F.col("cnt") / F.col("n_tokens") * F.col("idf")
     weighted = (
         counts.join(idf.select("token", "idf"), "token")
-        .join(word_vectors_mean(counts, vectors, size), "token")
+        .join(word_vectors_mean(counts, vectors), "token")
     )
-    summed = sum_vectors(weighted, ["template_id"], "vec", weight, size=size)
+    summed = sum_vectors(weighted, ["template_id"], "vec", weight)
     zero = F.array(*[F.lit(0.0)] * size)
     return templates.select("template_id").join(summed, "template_id", "left").select(
         "template_id", F.coalesce("vec", zero).alias("vec")
@@ -280,7 +277,7 @@ def sequence_vectors(
     """(session_id, vec): sum of the event vectors over occurrences, unknown events ignored."""
     size = vector_size(event_vectors)
     weighted = event_counts(seq).join(event_vectors.select("event", "vec"), "event")
-    out = sum_vectors(weighted, ["session_id"], "vec", F.col("cnt"), size=size)
+    out = sum_vectors(weighted, ["session_id"], "vec", F.col("cnt"))
     ids = (sessions if sessions is not None else seq).select("session_id").distinct()
     zero = F.array(*[F.lit(0.0)] * size)
     return ids.join(out, "session_id", "left").select(

@@ -11,7 +11,7 @@ from workload.fixtures import (
 )
 from workload.registry import query
 from workload.splits import SHIFTED_SQL, _shifted
-from workload.text import TOKENS_SQL
+from workload.text import CUTS_SQL, TOKENS_SQL
 
 
 def r(c, digits: int = 6):
@@ -142,32 +142,26 @@ def token_idf(spark, sf_dir):
     return X.token_idf(_templates(spark, sf_dir)).select("token", "cnt", r("idf").alias("idf"))
 
 
-def _plain_templates(spark, sf_dir):
-    """Templates reduced to their plain lower-case words, which the SQL can split."""
-    from logweir.functions.text import template_tokens
-
-    words = F.filter(template_tokens("text"), lambda t: t.rlike("^[a-z]+$"))
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("template_id"), F.array_join(words, " ").alias("template")
-    )
-
-
 P_SQL = (
-    f"""
-t AS (SELECT doc_id AS template_id, list_filter({TOKENS_SQL.format('text')},
-        lambda x: regexp_full_match(x, '[a-z]+')) AS toks FROM documents),
-tt AS (SELECT template_id, len(toks) AS n, unnest(toks) AS token FROM t),
-ti AS (SELECT token, count(*) AS cnt, ln((SELECT count(*) FROM t) / count(*)) AS idf
-       FROM tt GROUP BY token),
-wd AS (SELECT token, ascii(token) % 500 AS vec_id FROM ti WHERE NOT regexp_matches(token, '^[aeiou]')),"""
+    T_SQL
+    + f""",
+sw AS (SELECT token, word, count(*) AS times
+       FROM (SELECT token, unnest(string_split(lower({CUTS_SQL}), ' ')) AS word FROM (SELECT DISTINCT token FROM tt))
+       WHERE trim(word) <> '' GROUP BY 1, 2),
+nw AS (SELECT token, sum(times) AS n_words FROM sw GROUP BY token),
+wd AS (SELECT word, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id
+       FROM (SELECT DISTINCT word FROM sw) WHERE NOT regexp_matches(word, '^[aeiou]')),"""
     + V_SQL
+    + """,
+wv AS (SELECT token, dim, sum(times * x) / any_value(n_words) AS x
+       FROM sw JOIN nw USING (token) JOIN wd USING (word) JOIN v USING (vec_id) GROUP BY 1, 2)"""
 )
 
 
 @query(f"""WITH {P_SQL} SELECT token, round(sum(x), 5) + 0.0 AS total, round(sum(x * x), 5) AS squares
-FROM wd JOIN v USING (vec_id) GROUP BY token""")
+FROM wv GROUP BY token""")
 def word_vectors_mean(spark, sf_dir):
-    tokens = X.token_counts(_plain_templates(spark, sf_dir))
+    tokens = X.token_counts(_templates(spark, sf_dir))
     out = X.word_vectors_mean(tokens, word_vectors(spark, sf_dir))
     add = lambda acc, x: acc + x
     return out.select(
@@ -180,22 +174,22 @@ def word_vectors_mean(spark, sf_dir):
 @query(f"""WITH {P_SQL},
 tc AS (SELECT template_id, token, n, count(*) AS c FROM tt GROUP BY 1, 2, 3),
 sums AS (SELECT template_id, dim, sum(c * c / n * idf * x) AS x
-         FROM tc JOIN ti USING (token) JOIN wd USING (token) JOIN v USING (vec_id) GROUP BY 1, 2)
+         FROM tc JOIN ti USING (token) JOIN wv USING (token) GROUP BY 1, 2)
 SELECT t.template_id, dims.dim, round(coalesce(x, 0), 5) + 0.0 AS x
 FROM t CROSS JOIN (SELECT unnest(range(64)) AS dim) dims
 LEFT JOIN sums ON sums.template_id = t.template_id AND sums.dim = dims.dim""")
 def template_vectors(spark, sf_dir):
-    out = X.template_vectors(_plain_templates(spark, sf_dir), word_vectors(spark, sf_dir))
+    out = X.template_vectors(_templates(spark, sf_dir), word_vectors(spark, sf_dir))
     return out.select("template_id", F.posexplode("vec").alias("dim", "x")).select(
         "template_id", F.col("dim").cast("bigint").alias("dim"), r("x", 5).alias("x")
     )
 
 
 @query(f"""WITH {P_SQL}
-SELECT count(*) FILTER (WHERE wd.token IS NULL) AS missing, count(*) AS total
-FROM tt LEFT JOIN wd ON tt.token = wd.token""")
+SELECT coalesce(sum(times) FILTER (wd.word IS NULL), 0)::BIGINT AS missing, sum(times)::BIGINT AS total
+FROM tt JOIN sw USING (token) LEFT JOIN wd ON wd.word = sw.word""")
 def oov_rate(spark, sf_dir):
-    return X.oov_rate(_plain_templates(spark, sf_dir), word_vectors(spark, sf_dir))
+    return X.oov_rate(_templates(spark, sf_dir), word_vectors(spark, sf_dir))
 
 
 @query(f"""WITH {M_SQL}, {EV_SQL}

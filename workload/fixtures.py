@@ -212,17 +212,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, vec): the words of the documents; a word takes vector ascii(word) % 500.
+    """(token, vec): the camel words of the documents; a word takes the vector its md5 names.
 
     Words that start with a vowel stay without a vector.
     """
+    from logweir.functions.text import camel_words, template_tokens
+
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
+    tokens = explode_once(documents(spark, sf_dir), name="t", values=template_tokens("text")).distinct()
     words = (
-        explode_once(
-            documents(spark, sf_dir), name="token", values=F.split(F.lower("text"), "[^a-z]+")
-        )
-        .filter((F.col("token") != "") & ~F.col("token").rlike("^[aeiou]"))
+        explode_once(tokens, name="token", values=camel_words("t"))
+        .filter(~F.col("token").rlike("^[aeiou]"))
         .distinct()
-        .withColumn("vec_id", (F.ascii("token") % 500).cast("bigint"))
+        .withColumn("vec_id", F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("bigint") % n)
     )
     found = words.join(vectors(spark, sf_dir), "vec_id").select("token", "vec")
     return materialise(found, "word-vectors")
