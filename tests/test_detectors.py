@@ -86,12 +86,6 @@ def test_density_against_brute_force(spark, monkeypatch, tile):
     assert np.allclose(got["outlier"][keep], want)
 
 
-def test_probe_radius(spark):
-    x = np.arange(200, dtype=float)[:, None] * np.ones((1, 2))
-    points = D.distinct_vectors(vec_frame(spark, x))
-    assert D.probe_radius(points, 2, 0.5) == pytest.approx(np.sqrt(2), abs=1e-5)
-
-
 def test_labels_and_soft_targets(spark):
     rows = [
         (1, 0, [1.0], 0.3), (2, 0, [2.0], float("nan")), (3, 1, [3.0], 0.4),

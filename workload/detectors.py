@@ -9,7 +9,7 @@ from logweir.operators import clusters as K
 from logweir.operators import density as D
 from logweir.operators import next_event as N
 from logweir.operators.classify import SessionClassifier
-from logweir.operators.features import CountModel, dense_vectors
+from logweir.operators.features import CountModel, dense_vectors, event_counts
 from logweir.operators.evaluate import sweep
 from logweir.operators.ica import IcaModel
 from logweir.operators.pca import gram_rows
@@ -19,7 +19,7 @@ from logweir.plans.detectors import ClusterDetector, CountPca, PuDetector, Seman
 from logweir.session import materialise
 from workload.features import C_SQL, U_SQL, r, user_sequences, windows_sql
 from workload.fixtures import (
-    S_SQL, is_train, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
+    M_SQL, S_SQL, is_train, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
 )
 from workload.registry import query
 
@@ -310,6 +310,42 @@ def soft_targets(spark, sf_dir):
     )
 
 
+@query(f"""WITH RECURSIVE {M_SQL},
+c AS (SELECT session_id, event_key AS event, count(*) AS cnt FROM m GROUP BY 1, 2),
+g AS (SELECT session_id, string_agg(event || ':' || cnt, ' ' ORDER BY event) AS vec FROM c GROUP BY 1),
+p AS (SELECT vec, min(session_id) AS id, count(*) AS w FROM g GROUP BY vec),
+x AS (SELECT id, event, cnt FROM c JOIN p ON c.session_id = p.id),
+ids AS (SELECT id, w, (SELECT sum(cnt * cnt) FROM x WHERE x.id = p.id) AS n FROM p),
+dots AS (SELECT a.id AS a, b.id AS b, sum(a.cnt * b.cnt) AS d FROM x a JOIN x b USING (event) GROUP BY 1, 2),
+near AS (SELECT s.id AS a, t.id AS b, t.w FROM ids s CROSS JOIN ids t
+  LEFT JOIN dots ON dots.a = s.id AND dots.b = t.id WHERE s.n + t.n - 2 * coalesce(d, 0) <= 9.5),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING sum(w) >= 4),
+links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+cl AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a),
+size AS (SELECT cluster, sum(w) AS size FROM cl JOIN ids USING (id) GROUP BY 1 HAVING sum(w) >= 8)
+SELECT session_id, coalesce(size, 0)::BIGINT AS size
+FROM g JOIN p USING (vec) LEFT JOIN cl ON cl.id = p.id LEFT JOIN size USING (cluster)""")
+def density_clusters(spark, sf_dir):
+    """Size of the density cluster of every session (0 is noise), on the counts of all event keys."""
+    found = D.DensityClusters(eps=9.5**0.5, min_cluster_size=8, min_samples=4).fit_predict(
+        _key_counts(spark, sf_dir)
+    )
+    found = materialise(found.select("session_id", "cluster"), "density")
+    sizes = found.filter(F.col("cluster") >= 0).groupBy("cluster").agg(F.count("*").alias("size"))
+    return found.join(sizes, "cluster", "left").select(
+        "session_id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")
+    )
+
+
+def _key_counts(spark, sf_dir):
+    """(session_id, vec): counts of the event keys."""
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    events = [r["event"] for r in event_index(seq.select("event")).orderBy("idx").collect()]
+    counts = event_counts(seq).select("session_id", "event", F.col("cnt").cast("double").alias("x"))
+    return materialise(dense_vectors(counts, events), "vectors")
+
+
 @query()
 def density_labels(spark, sf_dir):
     """Density clusters of all sessions, labels propagated from half of the train normals."""
@@ -317,7 +353,7 @@ def density_labels(spark, sf_dir):
 
     data = _count_vectors(spark, sf_dir, "event_type")
     found = materialise(
-        D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(data), "density"
+        D.DensityLabeller(eps=0.5, min_cluster_size=20, min_samples=10).fit_predict(data), "density"
     )
     labels = D.with_confidence(D.propagate_labels(found, first_half(data.filter(is_train()))))
     return labels.select(
@@ -352,7 +388,7 @@ def soft_classifier(spark, sf_dir):
     data = _count_vectors(spark, sf_dir, "event_type")
     train = data.filter(is_train())
     found = materialise(
-        D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(train), "density"
+        D.DensityLabeller(eps=0.5, min_cluster_size=20, min_samples=10).fit_predict(train), "density"
     )
     labels = D.with_confidence(D.propagate_labels(found, first_half(train)))
     model = SessionClassifier.fit(D.soft_targets(labels), target="class", weight="weight")
@@ -382,7 +418,7 @@ def pu_detector_sweep(spark, sf_dir):
     v = names.join(vectors(spark, sf_dir), F.col("idx") == F.col("vec_id")).select("event", "vec")
     model = PuDetector.fit(
         seq.filter(is_train()), ids.filter(is_train()), materialise(v, "event-vectors"),
-        D.DensityLabeller(min_cluster_size=20, min_samples=10), components=4, max_iter=30,
+        D.DensityLabeller(eps=0.5, min_cluster_size=20, min_samples=10), components=4, max_iter=30,
     )
     scored = model.score(seq.filter(~is_train())).join(ids, "session_id")
     swept = sweep(scored, 0.0, 0.1, 11, strict=False)
