@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. A text becomes the set of its distinct word shingles. Equal sets are one class, the smallest id stands for it.
-2. Min-hash signatures are cut into bands. Ids that share a band are tied to the smallest id there, and the components of
+1. A text becomes the set of its distinct word shingles. Equal sets are one class, told apart by 128-bit hashes.
+2. Min-hash signatures are cut into bands. Classes that share a band are tied to the smallest one there, and the components of
    these ties are candidate groups: every banded candidate pair lies in one group.
 3. Groups are cut into blocks, pairs of blocks are tasks. In a task, banded candidates are compared by batches of their signatures; a
    pair is pruned once the posterior probability of the wanted similarity (uniform prior) falls below ``MISS``. Survivors that are not
@@ -12,7 +12,7 @@ Only spanning links leave a task, so copies are never expanded into pairs. Group
 which gives the same candidates. At the wanted similarity a pair shares no band with probability (1 - s^r)^b, about 3e-6 by default.
 
 Null texts and texts without words have empty sets and are linked with nothing. Rows with a null id are linked with nothing and
-kept. Rows with the same id are one node. Equal sets need no tie-breaking: the smallest id is kept. Extra columns are
+kept. Rows with the same id are linked, whatever their texts. Equal sets need no tie-breaking: the smallest id is kept. Extra columns are
 kept by ``deduplicate`` and not read otherwise. Empty tables give empty results.
 """
 
@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from logweir.llm.common import Rolling, WordHashes, lower_words, map_rows, mix, typed
 from logweir.llm.components import connected_components
@@ -85,6 +85,10 @@ def least_agreements(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     return out
 
 
+def _set_hash(found: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+
+
 def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, hash of the set (two numbers) and band keys of every row."""
 
@@ -92,8 +96,7 @@ def describe(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         found = shingles(text, width, hashes)
         if not len(found):
             return doc_id, 0, None, None, None
-        whole = xxhash.xxh3_128_digest(found.tobytes())
-        one, two = np.frombuffer(whole, np.int64).tolist()
+        one, two = _set_hash(found).tolist()
         return doc_id, len(found), one, two, band_keys(signature(found)).tolist()
 
     fields = typed("doc_id long, n_shingles long, one long, two long, bands array<long>",
@@ -182,19 +185,23 @@ def _groups(classes: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: verified links that connect what is linked (not every pair)."""
+    """a, b: verified links of classes that connect what is linked (not every pair)."""
     groups = _groups(classes)
-    ids = materialise(groups.select("id").distinct(), "ids")
-    kind = docs.schema[id_col].dataType
+    grouped = materialise(
+        classes.select("id", "doc").join(groups.select("id").distinct(), "id"), "grouped"
+    )
 
-    def row(hashes, doc_id, text):
+    def row(hashes, _, text):
         found = shingles(text, width, hashes)
-        return doc_id, len(found), signature(found).tobytes(), found.tobytes()
+        one = int(_set_hash(found)[0]) if len(found) else None
+        return one, len(found), signature(found).tobytes(), found.tobytes()
 
+    chosen = docs.select(F.col(id_col).alias("doc"), text_col).join(
+        _small(grouped.select("doc").distinct()), "doc", "left_semi"
+    )
     sets = map_rows(
-        docs.select(F.col(id_col).alias("id"), text_col).join(_small(ids), "id", "left_semi"),
-        typed("id long, size long, sign binary, set binary", id=kind), row, WordHashes,
-    ).dropDuplicates(["id"])
+        chosen, T.StructType.fromDDL("id long, size long, sign binary, set binary"), row, WordHashes,
+    ).join(_small(grouped.select("id")), "id", "left_semi").dropDuplicates(["id"])  # copies in repeated rows
     sets = materialise(sets, "sets")
     sizes = groups.join(sets.select("id", "size"), "id").groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
@@ -226,7 +233,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col:
         return pd.DataFrame(out, columns=["a", "b"])
 
     return placed.join(sets, "id").withColumn("task", F.pmod("pair", F.lit(tasks))).groupBy("task").applyInPandas(
-        lambda frame: compare(frame), f"a {kind.simpleString()}, b {kind.simpleString()}"
+        compare, "a long, b long"
     )
 
 
@@ -237,24 +244,27 @@ def near_duplicates(
     known = materialise(describe(docs, width, id_col, text_col), "sets")
     full = known.filter(F.col("one").isNotNull() & F.col("doc_id").isNotNull())
     classes = full.groupBy("one", "two").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")
-    )
+        F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.count("*").alias("copies")
+    ).withColumn("id", F.col("one"))
     classes = materialise(classes, "classes")
     edges = links(docs, classes, width, percent, id_col, text_col)
-    # Rows of one id with different sets are one node.
-    same = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    again = full.join(same, "doc_id", "left_semi").join(
-        classes.select("one", "two", "id"), ["one", "two"]
-    ).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    # Rows of one id with different sets are linked.
+    heads = full.groupBy("doc_id").agg(F.min("one").alias("b"), F.max("one").alias("last")).filter(
+        "b < last"
+    ).select("doc_id", "b")
+    again = full.join(heads, "doc_id").select(F.col("one").alias("a"), "b")
     components = connected_components(edges.union(again))
-    label = classes.select("one", "two", "id").join(
-        components.select(F.col("node").alias("id"), "component"), "id", "left"
-    ).select("one", "two", F.coalesce("component", "id").alias("component_id"))
-    multiple = materialise(label.join(classes, ["one", "two"]).filter(
-        (F.col("copies") > 1) | (F.col("component_id") != F.col("id"))
-    ).select("one", "two", "component_id"), "labels")
+    linked = components.join(classes.select(F.col("id").alias("node"), "doc"), "node")
+    least = linked.groupBy("component").agg(F.min("doc").alias("least"))
+    label = linked.join(least, "component").select(F.col("node").alias("one"), "least")
+    # Rows outside any link or copy keep their own id, so only the others are looked up.
+    multiple = materialise(
+        classes.join(label, "one", "left").filter((F.col("copies") > 1) | F.col("least").isNotNull()).select(
+            "one", "two", F.coalesce("least", "doc").alias("component_id")
+        ), "labels",
+    )
     found = known.join(multiple, ["one", "two"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
