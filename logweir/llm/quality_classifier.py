@@ -122,7 +122,10 @@ def fit(
     )
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(["id", "found"], kind="stable")
+        parts = list(frames)
+        if not parts:
+            return
+        frame = pd.concat(parts).sort_values(["id", "found"], kind="stable")
         good = frame["good"].to_numpy(bool)
         if not good.any() or good.all():
             return
