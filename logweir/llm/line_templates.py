@@ -27,7 +27,7 @@ MIN_TOKENS = 4
 LEADING = 3
 BROADCAST_ROWS = 1_000_000  # rows of at most a few numbers each
 
-BLANK = r"[ \t\n\x0B\f\r]+"
+FIELD = "<*>"
 VARIABLE = r"[^ \t\n\x0B\f\r]*[0-9@][^ \t\n\x0B\f\r]*"
 
 
@@ -36,10 +36,6 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANK), lambda t: t != "")
-
-
 def _salted(salt: str):
     return lambda line: F.md5(F.concat(F.lit(salt), line))
 
@@ -48,17 +44,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, line number, masked tokens and leaf of the lines with enough tokens, with the class of the document."""
     text = F.col(text_col)
     masked = F.when(
-        text.rlike("[0-9@]"), F.regexp_replace(text, VARIABLE, "<*>")
+        text.rlike("[0-9@]"), F.regexp_replace(text, VARIABLE, FIELD)
     ).otherwise(text)
-    lines = F.split(text, "\n")
-    smallest = [F.array_min(F.transform(lines, _salted(salt))) for salt in "12"]
+    smallest = [F.array_min(F.transform(F.split(text, "\n"), _salted(salt))) for salt in "12"]
+    # What belongs to a document is computed below the generator, what belongs to a line inside it: each once.
     base = docs.select(
         F.xxhash64(F.col(id_col), text).alias("doc"),
         F.xxhash64(*smallest).alias("class"),
-        F.posexplode(F.split(masked, "\n")).alias("line", "body"),
+        F.translate(masked, "\t\x0b\f\r", "    ").alias("masked"),
+    )
+    lines = F.transform(
+        F.split("masked", "\n"),
+        lambda x, i: F.struct(i.alias("line"), F.filter(F.split(x, " "), lambda t: t != "").alias("tokens")),
     )
-    tokens = base.select("doc", "class", "line", _tokens(F.col("body")).alias("tokens"))
-    return tokens.filter(F.size("tokens") >= MIN_TOKENS).withColumn(
+    long_lines = F.filter(lines, lambda x: F.size(x["tokens"]) >= MIN_TOKENS)
+    return base.select("doc", "class", F.inline(long_lines)).withColumn(
         "leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
     )
 
@@ -88,9 +88,9 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     templates = places.drop("n").join(frequent, ["leaf", "place", "token"], "left").groupBy(
         "leaf", "message"
     ).agg(
-        F.count("constant").alias("constants"),
+        F.count_if(F.col("constant") & (F.col("token") != FIELD)).alias("constants"),
         F.count("*").alias("tokens"),
-        F.bit_xor(F.xxhash64("place", F.when(F.col("constant"), F.col("token")).otherwise("<*>"))).alias("template"),
+        F.bit_xor(F.xxhash64("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))).alias("template"),
     ).filter(F.col("constants") * 2 >= F.col("tokens")).select("leaf", "message", "template")
     templates = materialise(templates, "templates")
     held = some.select("doc", "class", "line", "leaf", "message").join(templates, ["leaf", "message"])

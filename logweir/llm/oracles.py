@@ -142,7 +142,7 @@ counted AS (
 templates AS (
   SELECT leaf, doc_id, line,
     string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
-  FROM counted GROUP BY ALL HAVING 2 * count(*) FILTER (constant) >= count(*)
+  FROM counted GROUP BY ALL HAVING 2 * count(*) FILTER (constant AND token <> '<*>') >= count(*)
 ),
 recurring AS (
   SELECT leaf, template FROM templates JOIN classes USING (doc_id) GROUP BY ALL
