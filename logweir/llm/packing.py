@@ -16,6 +16,7 @@ columns are not read. An empty table gives no pieces. Windows are padded to thei
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from logweir.llm.common import from_rows, slices
+from logweir.llm.common import from_rows, slices, trim_cache
 from logweir.session import materialise
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_GROUP = 4096       # open windows that are merged by one task
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,25 +48,35 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit numbers, encoded in batches of unseen words."""
+    """Ids of a word as little-endian unsigned 32-bit numbers; unseen words are encoded in batches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encoder = Tokenizer.from_file(path)
-
-    def of(self, text: str | None) -> bytes:
-        words = text.split() if text else []
-        new = [w for w in {*words} if w not in self]
-        if new:
-            if len(self) + len(new) > CACHED_WORDS:
-                self.clear()
-                new = list({*words})
-            encoded = self.encoder.encode_batch_fast(new, add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        return b"".join(map(self.__getitem__, words))
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+
+    def learn(self, words: set[str]) -> None:
+        """Encode unseen words; the tokenizer splits a full stop or comma from the letter before it."""
+        ended = [w for w in words if w[-1] in ",." and w[-2:-1].lower().isalpha()]
+        plain = words.difference(ended)
+        plain.update(",.", (w[:-1] for w in ended))
+        todo = [w for w in plain if w not in self]
+        for word, encoded in zip(todo, self.encode(todo, add_special_tokens=False)):
+            ids = encoded.ids
+            self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        trim_cache(self, CACHED_WORDS)
+        lists = [t.split() if t else [] for t in texts]
+        coded = [list(map(self.get, words)) for words in lists]
+        self.learn({w for words, ids in zip(lists, coded) for w, i in zip(words, ids) if i is None})
+        return [
+            b"".join([self[w] if i is None else i for w, i in zip(words, ids)])
+            for words, ids in zip(lists, coded)
+        ]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -146,8 +157,9 @@ def pack(
         windows = OpenWindows(window, open_windows, emit)
         for batch in batches:
             for part in slices(batch):
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                    for piece in pieces(doc_id, ids.of(text) + end, window):
+                coded = ids.of(part.column(1).to_pylist())
+                for doc_id, data in zip(part.column(0).to_pylist(), coded):
+                    for piece in pieces(doc_id, data + end, window):
                         windows.place(piece, piece[2])
                 if rows:
                     yield from_rows(rows, arrow)
