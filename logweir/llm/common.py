@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
-HASHED_WORDS = 1 << 20
+HASHED_WORDS = 1 << 18   # words that a cache of a task holds at most
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -33,6 +33,13 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def trim_cache(cache: dict, most: int) -> None:
+    """Forget the later half of a cache above ``most`` entries: frequent words are met, and kept, first."""
+    if len(cache) > most:
+        for key in list(itertools.islice(cache, most // 2, None)):
+            del cache[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words as eight bytes; ``trim`` keeps the memory bounded."""
 
@@ -41,8 +48,7 @@ class WordHashes(dict):
         return value
 
     def trim(self) -> None:
-        if len(self) > HASHED_WORDS:
-            self.clear()
+        trim_cache(self, HASHED_WORDS)
 
     def of(self, words: list) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
