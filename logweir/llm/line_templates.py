@@ -117,18 +117,18 @@ def drop_recurring_lines(
     cut = materialise(
         recurring_lines(docs, id_col, text_col).groupBy("doc").agg(F.collect_set("line").alias("cut")),
         "cut",
-    ).select(F.col("doc").alias("_doc"), F.col("cut").alias("_cut"))
+    ).select(F.col("doc").alias("__recurring_doc"), F.col("cut").alias("__recurring_cut"))
     text = F.col(text_col)
     key = F.xxhash64(F.col(id_col), text)
-    joined = docs.join(sized(cut), key == F.col("_doc"), "left")
+    joined = docs.join(sized(cut), key == F.col("__recurring_doc"), "left")
     kept = F.filter(
-        F.split(text, "\n"), lambda x, i: ~F.array_contains("_cut", i)
+        F.split(text, "\n"), lambda x, i: ~F.array_contains("__recurring_cut", i)
     )
-    body = F.when(F.col("_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    body = F.when(F.col("__recurring_cut").isNull(), text).otherwise(F.array_join(kept, "\n"))
     columns = [body.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         columns += [
             F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
-            F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long").alias("n_dropped"),
+            F.when(F.col("__recurring_cut").isNull(), 0).otherwise(F.size("__recurring_cut")).cast("long").alias("n_dropped"),
         ]
     return joined.select(*columns)

@@ -274,7 +274,7 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the document of the smallest id of each component only, all columns kept."""
     gone = near_duplicates(docs, id_col, **options).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_gone")
+        F.col("doc_id").alias(id_col)
     )
     gone = materialise(gone.distinct(), "gone")
-    return docs.join(_small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(_small(gone), id_col, "left_anti")
