@@ -62,13 +62,16 @@ _RUN = re.compile(
     rf"(?:{_DIGIT_WORD}|[0-9]+))+(?![^\W_])", re.I
 )
 _RUN_PART = re.compile(rf"plus[\s,-]+|\s+(?:dot|point)\s+|{_DIGIT_WORD}|[0-9]+|[\s,.-]+", re.I)
-_SPELLED_TWICE = re.compile(rf"\b{_DIGIT_WORD}[\s,.-]+(?:(?:dot|point)\s+)?{_DIGIT_WORD}\b", re.I)
+# The gates: each finds something wherever its transducer would change the text.
+_ELEMENT = rf"(?:{_DIGIT_WORD}|[0-9]+)(?![^\W_])"
+_BETWEEN = r"(?:[\s,.-]+|\s+(?:dot|point)\s+)"
+_SPELLED_NEAR = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD}{_BETWEEN}{_ELEMENT}|[0-9]+{_BETWEEN}{_DIGIT_WORD}(?![^\W_]))", re.I)
 _UNUSUAL = re.compile(
     "[" + INVISIBLE + HYPHENS + BLANKS
     + "\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\uff01-\uff5e]"
 )
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|point|punkt|\.)\s*[\])}>]", re.I)
-_PLAIN_DOT = re.compile(r"\sdot\s", re.I)
+_PLAIN_WORD = re.compile(r"\s(?:dot\s|at\s+[A-Za-z0-9-]+(?:\s+dot\s|\.))", re.I)
 _FINAL_LABEL = re.compile(r"\.[A-Za-z][A-Za-z0-9-]+$")
 
 
@@ -182,12 +185,8 @@ def _digit_runs(text: str) -> list[tuple[int, int, str]]:
 def disguised(text: str) -> list[tuple[int, str, int]]:
     """Source spans of identifiers that only the rewritten text shows."""
     unusual = not text.isascii() and _UNUSUAL.search(text)
-    low = text.lower()
-    words = any(f in low for f in ("dot", "[", "(", "{", "<")) and (
-        _PLAIN_DOT.search(low) or _BRACKETED.search(low)
-    )
-    spelled = _SPELLED_TWICE.search(low)
-    if not (unusual or words or spelled):
+    bracketed = any(c in text for c in "[({<") and _BRACKETED.search(text)
+    if not (unusual or bracketed or _PLAIN_WORD.search(text) or _SPELLED_NEAR.search(text)):
         return []
     mapped = Mapped(text)
     for transducer in (_characters, _brackets, _plain_addresses, _digit_runs):

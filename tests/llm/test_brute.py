@@ -323,6 +323,35 @@ def test_disguises_map_back_to_the_source(text, kind, shown):
     assert personal_data.mask(text, [s for s in added if s[1] == kind]) == text.replace(shown, f"<{kind}>")
 
 
+@pytest.mark.parametrize("text,kind,shown", [
+    ("write to bob at example.com", "email", "bob at example.com"),
+    ("BOB AT EXAMPLE.COM", "email", "BOB AT EXAMPLE.COM"),
+    ("bob (at) example.com", "email", "bob (at) example.com"),
+    ("bob@example dot com", "email", "bob@example dot com"),
+    ("bob@example [po\u0130nt] com", "email", "bob@example [po\u0130nt] com"),
+    ("plus 1 five 5 five 1 two 3 four 5 six 7", "phone", "plus 1 five 5 five 1 two 3 four 5 six 7"),
+    ("_plus one 4155552 seven 1_", "phone", "plus one 4155552 seven 1"),
+    ("10 point two dot 3 dot four", "ip", "10 point two dot 3 dot four"),
+])
+def test_a_disguise_is_found_alone_and_beside_others(text, kind, shown):
+    for around in ("{}", "{} . and one dot two", "[at] {}"):
+        whole = around.format(text)
+        assert (kind, shown) in [(k, whole[a:b]) for a, k, b in personal_data.find_spans(whole)[1]], around
+
+
+def test_gates_pass_whatever_a_transducer_changes(monkeypatch):
+    draw = random.Random(5)
+    parts = ["one", "Two", "7", "41", "plus", "dot", "point", "at", "AT", "@", ".", ",", "-", "_", "bob", "x.org", "[at]", "( dot )", "\n"]
+    reached = []
+    monkeypatch.setattr(personal_data, "Mapped", lambda text, kind=personal_data.Mapped: reached.append(text) or kind(text))
+    for _ in range(5000):
+        text = "".join(draw.choice(parts) + draw.choice(["", " ", " "]) for _ in range(draw.randrange(1, 9)))
+        edits = [f(text) for f in (personal_data._characters, personal_data._brackets, personal_data._plain_addresses, personal_data._digit_runs)]
+        reached.clear()
+        personal_data.disguised(text)
+        assert reached or not any(edits), text
+
+
 def test_prose_has_no_disguise():
     for k in range(30):
         assert personal_data.find_spans(prose(k, 200) + " at the end of one two dot line") == ([], [])
