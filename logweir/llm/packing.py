@@ -5,8 +5,8 @@ the fullest window is emitted and a new one is opened. What is still open at the
 merged: open windows are packed as items into new windows, in groups of bounded size. Only lengths
 move between tasks, never tokens.
 
-Token ids come word by word from the public tokenizer (its rules never join across white space), so
-repeated words are encoded once per cache. A document is its ids and one end id; documents above a window are
+Token ids come word by word from the public tokenizer (its rules never join across white space; U+001C to U+001F
+are none for it, and get ids), so repeated words are encoded once per cache. A document is its ids and one end id; documents above a window are
 cut into full windows and a rest.
 
 Null and empty texts are the end id alone. Rows with equal or null doc_id are packed each for itself. Extra
@@ -16,6 +16,7 @@ columns are not read. An empty table gives no pieces. Windows are padded to thei
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,9 @@ CACHED_WORDS = 1 << 18
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
+_SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -47,6 +51,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def split_words(text: str) -> list[str]:
+    """Words between what the tokenizer takes as white space."""
+    if any(c in text for c in SEPARATORS):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
+
+
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit numbers; unseen words are encoded in batches."""
 
@@ -70,7 +81,7 @@ class WordIds(dict):
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         trim_cache(self, CACHED_WORDS)
-        lists = [t.split() if t else [] for t in texts]
+        lists = [split_words(t) if t else [] for t in texts]
         coded = [list(map(self.get, words)) for words in lists]
         self.learn({w for words, ids in zip(lists, coded) for w, i in zip(words, ids) if i is None})
         return [

@@ -284,6 +284,19 @@ def test_packing_round_trip(docs, rows):
     assert sum(u for u in used) / (512 * len(used)) > 0.85
 
 
+def test_packing_keeps_the_ids_of_separator_characters(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [f"abc{c}def ghi,{c} {c}x.{c}\n{c}{c}." for c in spaces] + ["\x1c", "\x1f\x1e \x1d.", "a.\x1c b,\x1d\u2028c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in packing.pack(docs).collect()}
+    for k, text in enumerate(texts):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert (found[k].length, found[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), ascii(text)
+
+
 def test_personal_data_against_plain_patterns(spark):
     texts = [
         "a@b.co, x.y+z@sub.example.org. 10.0.0.1 999.1.1.1 1.2.3.4.5", "+1 (988) 555-2485 and 4041894974608795",
