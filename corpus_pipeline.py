@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm import quality_classifier
 from logweir.llm.common import table
 from logweir.llm.decontaminate import decontaminate
-from logweir.llm.line_templates import drop_recurring_lines
+from logweir.llm.line_templates import SHARE, drop_recurring_lines
 from logweir.llm.minhash import deduplicate
 from logweir.llm.packing import pack
 from logweir.session import materialise
@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; every document stays."""
-    return drop_recurring_lines(docs)
+    return drop_recurring_lines(docs, share=SHARE)
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

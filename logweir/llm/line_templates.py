@@ -9,6 +9,9 @@ its template. A template that recurs is dropped, in all documents, where it has
 * and at least half as many document classes as documents. A class is a pair of smallest line hashes, which copies of one
   document share: lines of copies are left to document dedup, boilerplate of unlike documents goes.
 
+With ``share`` a line has a second template, whose constant tokens are held by ``MIN_DOCS`` documents and by that share of the
+documents of the leaf, and goes if either recurs: names and places stay variable fields however often they occur.
+
 Two narrow passes over the texts count leaves and cut out the lines of leaves that can hold a recurring template; only these are
 shuffled. Small results are broadcast behind a count of their rows, larger ones joined by shuffles.
 
@@ -25,6 +28,7 @@ from logweir.session import materialise
 MIN_DOCS = 5
 MIN_TOKENS = 4
 LEADING = 3
+SHARE = 0.1
 BROADCAST_ROWS = 1_000_000  # rows of at most a few numbers each
 
 FIELD = "<*>"
@@ -67,7 +71,33 @@ def _message() -> Column:
     return F.md5(F.array_join("tokens", " "))
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shared_tokens(lines: DataFrame, share: float) -> DataFrame:
+    """leaf, place, token that at least ``MIN_DOCS`` documents and a share of the leaf's documents hold."""
+    sizes = lines.groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("size"))
+    places = lines.select("leaf", "doc", F.posexplode("tokens").alias("place", "token"))
+    tokens = (
+        places.groupBy("leaf", "place", "token", "doc").agg(F.lit(1).alias("one"))
+        .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    )
+    return tokens.join(sized(materialise(sizes, "sizes")), "leaf").filter(
+        F.col("n") >= share * F.col("size")
+    ).select("leaf", "place", "token", F.lit(True).alias("constant"))
+
+
+def _templates(places: DataFrame, constants: DataFrame) -> DataFrame:
+    """leaf, message, template of the messages with enough constant tokens."""
+    return places.drop("n").join(constants, ["leaf", "place", "token"], "left").groupBy(
+        "leaf", "message"
+    ).agg(
+        F.count_if(F.col("constant") & (F.col("token") != FIELD)).alias("constants"),
+        F.count("*").alias("tokens"),
+        F.bit_xor(F.xxhash64("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))).alias("template"),
+    ).filter(F.col("constants") * 2 >= F.col("tokens")).select("leaf", "message", "template")
+
+
+def recurring_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None
+) -> DataFrame:
     """doc (a hash of id and text) and number of the lines whose template recurs."""
     lines = _lines(docs, id_col, text_col)
     leaves = materialise(
@@ -85,13 +115,11 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(
         F.col("n") >= MIN_DOCS
     ).select("leaf", "place", "token", F.lit(True).alias("constant"))
-    templates = places.drop("n").join(frequent, ["leaf", "place", "token"], "left").groupBy(
-        "leaf", "message"
-    ).agg(
-        F.count_if(F.col("constant") & (F.col("token") != FIELD)).alias("constants"),
-        F.count("*").alias("tokens"),
-        F.bit_xor(F.xxhash64("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))).alias("template"),
-    ).filter(F.col("constants") * 2 >= F.col("tokens")).select("leaf", "message", "template")
+    templates = _templates(places, frequent)
+    if share is not None:
+        shared = _templates(places, _shared_tokens(some, share))
+        # A template of its own, even where its tokens are those of one by counts.
+        templates = templates.union(shared.withColumn("template", F.xxhash64("template")))
     templates = materialise(templates, "templates")
     held = some.select("doc", "class", "line", "leaf", "message").join(templates, ["leaf", "message"])
     # Documents of a class are counted before classes meet, so a hot template is summed in parts.
@@ -111,11 +139,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False,
+    share: float | None = None,
 ) -> DataFrame:
     """``docs`` without recurring lines; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     cut = materialise(
-        recurring_lines(docs, id_col, text_col).groupBy("doc").agg(F.collect_set("line").alias("cut")),
+        recurring_lines(docs, id_col, text_col, share).groupBy("doc").agg(F.collect_set("line").alias("cut")),
         "cut",
     ).select(F.col("doc").alias("__recurring_doc"), F.col("cut").alias("__recurring_cut"))
     text = F.col(text_col)

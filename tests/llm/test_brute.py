@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,20 @@ def test_recurring_templates_go_and_copies_stay(spark):
         assert found[k].n_lines == len(lines) and found[k].n_dropped == len(lines) - len(want)
 
 
+@pytest.mark.parametrize("n", [50, 1000, 50_000])
+def test_a_template_family_goes_at_any_size(spark, n):
+    texts = F.concat(
+        F.concat_ws(" ", *[F.concat(F.lit("w"), F.translate(F.md5(F.concat("id", F.lit(f"-{k}"))), "0123456789", "ghijklmnop")) for k in range(6)]),
+        F.lit("\nWe all welcome name"), F.translate((F.col("id") % 100).cast("string"), "0123456789", "abcdefghij"),
+        F.lit(" from city"), F.translate(((F.col("id") * 37 + F.floor(F.col("id") / 100)) % 100).cast("string"), "0123456789", "abcdefghij"),
+        F.lit(" to the team"),
+    )
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    kept = stage(spark, docs, "").filter(F.col("text").contains("welcome")).count()
+    assert kept == 0
+
+
 def test_line_templates_run_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
     plan = line_templates.drop_recurring_lines(docs)._jdf.queryExecution().toString()
