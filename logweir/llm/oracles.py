@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import decontaminate, line_templates, quality_rules as rules
+from logweir.llm import collocations as phrases, decontaminate, fill_in_middle as middle, line_templates, quality_rules as rules
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -224,8 +224,85 @@ FROM lists LEFT JOIN kept USING (doc_id)
 """
 
 
+def _fill_in_middle() -> str:
+    hashes = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::UBIGINT AS h{k + 1}" for k in range(4))
+    p, s, m = (f"'{mark}'" for mark in (middle.PREFIX, middle.SUFFIX, middle.MIDDLE))
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('{middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+),
+units AS (SELECT *, regexp_extract_all(body, '[^\n]*\n|[^\n]+') AS u, {hashes} FROM docs),
+cuts AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS c1,
+    greatest(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS c2 FROM units
+),
+parts AS (
+  SELECT doc_id, n, body, array_to_string(u[1:c1], '') AS prefix, array_to_string(u[c1 + 1:c2], '') AS mid,
+    array_to_string(u[c2 + 1:], '') AS suffix,
+    CASE WHEN body = '' OR contains(body, {p}) OR contains(body, {s}) OR contains(body, {m}) OR h3 % 100 >= {middle.RATE}
+      THEN 'plain' WHEN h4 % 100 < {middle.SPM} THEN 'spm' ELSE 'psm' END AS form
+  FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || mid
+    ELSE {s} || suffix || {p} || prefix || {m} || mid END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM parts
+"""
+
+
+def _collocations() -> str:
+    low = LOWER.format("coalesce(text, '')")
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {m} AS words, {gram(m)} AS phrase FROM places WINDOW o AS (PARTITION BY row, piece ORDER BY pos)"
+        for m in range(1, phrases.WIDTH + 1)
+    )
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, {low} AS body FROM documents),
+pieces AS (
+  SELECT row, lang, unnest(s) AS piece_text, generate_subscripts(s, 1) AS piece
+  FROM (SELECT row, lang, string_split_regex(body, '[.,;:!?\x0A-\x0D]') AS s FROM docs)
+),
+places AS (
+  SELECT row, lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT *, regexp_extract_all(piece_text, '[^\x20\x09]+') AS w FROM pieces)
+),
+counts AS (
+  SELECT lang, words, phrase, count(*) AS f FROM ({grams}) WHERE phrase IS NOT NULL GROUP BY ALL
+  HAVING count(*) >= {phrases.MIN_COUNT}
+),
+sizes AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+split AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(generate_series(1, words - 1)) AS k
+  FROM counts WHERE words > 1
+),
+cuts AS (
+  SELECT s.lang, s.words, s.phrase, a, k, n, h.f AS l, t.f AS r,
+    (1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS score
+  FROM split s JOIN sizes USING (lang)
+  JOIN counts h ON h.lang = s.lang AND h.phrase = array_to_string(w[1:k], ' ')
+  JOIN counts t ON t.lang = s.lang AND t.phrase = array_to_string(w[k + 1:], ' ')
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM weakest p WHERE NOT EXISTS (
+    SELECT 1 FROM counts q WHERE q.lang = p.lang AND q.words > p.words
+      AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ') AND 100 * q.f >= {phrases.INSIDE} * p.a)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {phrases.TOP}
+"""
+
+
 QUALITY_RULES = _quality_rules()
 DECONTAMINATE = _decontaminate()
 LINE_TEMPLATES = _line_templates()
 MINHASH = _minhash()
 REPEATS = _repeats()
+COLLOCATIONS = _collocations()
+FILL_IN_MIDDLE = _fill_in_middle()
