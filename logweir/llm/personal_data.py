@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -48,13 +49,15 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 HYPHENS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63"
 BLANKS = "\u00a0\u2002\u2003\u2009\u202f"
 
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_AT = re.compile(_OPEN + r"(?:at|arroba|arobase|@)" + _CLOSE, re.I)
-_DOT = re.compile(_OPEN + r"(?:dot|punto|point|punkt|\.)" + _CLOSE, re.I)
-_PLAIN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9._%+-]+)*(?:\s+at\s+|@)"
-    r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.I
-)
+# Forms of the patterns that look at no character more than a few times, however long a run is.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_WHOLE_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:(at|arroba|arobase|@)|dot|punto|point|punkt|\.)\s*+[\])}>]", re.I)
+_ANCHOR = re.compile(r"(?<!\s)\s+at\s+|@", re.I)
+_LEFT = re.compile(r"[A-Za-z0-9._%+-]++(?:\s++tod\s++[A-Za-z0-9._%+-]++)*+", re.I)   # of a reversed text
+_RIGHT = re.compile(r"[A-Za-z0-9-]++(?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)++", re.I)
 _PLAIN_PART = re.compile(r"\s+(at|dot)\s+", re.I)
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
 _RUN = re.compile(
@@ -70,7 +73,6 @@ _UNUSUAL = re.compile(
     "[" + INVISIBLE + HYPHENS + BLANKS
     + "\u0370-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\uff01-\uff5e]"
 )
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|point|punkt|\.)\s*[\])}>]", re.I)
 _PLAIN_WORD = re.compile(r"\s(?:dot\s|at\s+[A-Za-z0-9-]+(?:\s+dot\s|\.))", re.I)
 _FINAL_LABEL = re.compile(r"\.[A-Za-z][A-Za-z0-9-]+$")
 
@@ -95,15 +97,28 @@ def _holds(kind: str, match: str) -> bool:
 
 def identifiers(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the leftmost non-overlapping matches of each kind that hold."""
-    kinds = []
-    if "@" in text:
-        kinds.append("email")
+    found = [(a, "email", b) for a, b in _emails(text)]
     if re.search("[0-9]", text):
-        kinds += [k for k in KINDS[1:] if k != "phone" or "+" in text]
-    return [
-        (m.start(), kind, m.end())
-        for kind in kinds for m in PATTERNS[kind].finditer(text) if _holds(kind, m.group())
-    ]
+        for kind in KINDS[1:]:
+            pattern = _WHOLE_IP if kind == "ip" else PATTERNS[kind]
+            if kind != "phone" or "+" in text:
+                found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if _holds(kind, m.group())]
+    return found
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """The matches of the email pattern, each found from its "@": to the left goes the run of local characters."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            free = domain.end()
+            found.append((start, free))
+        at = text.find("@", max(at + 1, free))
+    return found
 
 
 class Mapped:
@@ -149,16 +164,35 @@ def _characters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _brackets(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@") for m in _AT.finditer(text)]
-    edits += [(*m.span(), ".") for m in _DOT.finditer(text)]
-    return sorted(edits)
+    """Bracketed signs with the blanks around them."""
+    edits, free = [], 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, "@" if m.group(1) else "."))
+        free = b
+    return edits
 
 
 def _plain_addresses(text: str) -> list[tuple[int, int, str]]:
-    return [
-        (m.start() + p.start(), m.start() + p.end(), "@" if p.group(1).lower() == "at" else ".")
-        for m in _PLAIN.finditer(text) for p in _PLAIN_PART.finditer(m.group())
-    ]
+    """Signs spelled as words around an "at" or "@" with a name before it and a dotted one after it."""
+    edits, free = [], 0
+    for m in _ANCHOR.finditer(text):
+        right = _RIGHT.match(text, m.end())
+        left = right and m.start() >= free and _LEFT.match(text[free : m.start()][::-1])
+        if left:
+            start = m.start() - left.end()
+            edits += [
+                (start + p.start(), start + p.end(), "@" if p.group(1).lower() == "at" else ".")
+                for p in _PLAIN_PART.finditer(text[start : right.end()])
+            ]
+            free = right.end()
+        else:
+            free = max(free, m.end())
+    return edits
 
 
 def _digit_runs(text: str) -> list[tuple[int, int, str]]:
@@ -203,14 +237,19 @@ def disguised(text: str) -> list[tuple[int, str, int]]:
 
 def _apart(spans: list[tuple[int, str, int]], base: list[tuple[int, str, int]]):
     """Spans that overlap nothing taken, except shorter base spans of their kind inside them."""
-    taken = sorted((a, b, kind) for a, kind, b in base)
-    out = []
+    held = sorted((a, b, kind) for a, kind, b in base)
+    reach = list(itertools.accumulate((b for _, b, _ in held), max))   # the furthest end so far
+    out, free = [], 0
     for a, kind, b in sorted(spans, key=_order):
-        k = bisect.bisect_left(taken, (b,))
-        near = [(x, y, other) for x, y, other in taken[max(0, k - 8) : k] if y > a]
-        if all(a <= x and y <= b and (x, y) != (a, b) and other == kind for x, y, other in near):
+        k = bisect.bisect_left(held, (b,))
+        good = a >= free
+        while good and k and reach[k - 1] > a:
+            k -= 1
+            x, y, other = held[k]
+            good = y <= a or (a <= x and y <= b and (x, y) != (a, b) and other == kind)
+        if good:
             out.append((a, kind, b))
-            bisect.insort(taken, (a, b, "added"))
+            free = b
     return out
 
 

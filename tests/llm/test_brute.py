@@ -431,3 +431,78 @@ def test_components_of_paths_and_stars(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(41)) and all(found[k] == 100 for k in range(100, 140))
     assert found[501] == 500 and len(found) == 41 + 40 + 2
+
+
+@pytest.mark.parametrize("text,most", [
+    ("a" * 10**6 + " write to x@y.z", 1), ("(at)" + " " * 10**6 + "x@y.z", 1), ("a dot " * 170_000, 0), ("one " * 250_000, 0),
+    ("1." * 500_000, 125_000), ("( " * 300_000 + "at )", 0), ("a@" * 500_000, 0), ("+1" + "(" * 10**6, 0), ("9" * 10**6 + " (at) ", 0),
+])
+def test_long_runs_take_linear_time(text, most):
+    import time
+
+    start = time.process_time()
+    base, added = personal_data.find_spans(text)
+    assert len(base) + len(added) <= most and time.process_time() - start < 20
+
+
+def test_identifiers_equal_the_patterns():
+    draw = random.Random(1)
+    for _ in range(5000):
+        text = "".join(draw.choice("ab1.9_@@-+ %()7") for _ in range(draw.randint(0, 40)))
+        want = [
+            (m.start(), kind, m.end()) for kind in personal_data.KINDS
+            for m in personal_data.PATTERNS[kind].finditer(text) if personal_data._holds(kind, m.group())
+        ]
+        assert personal_data.identifiers(text) == want
+
+
+def test_spans_are_taken_once_whatever_lies_between():
+    base = [(k, "ip", k + 2) for k in range(10, 60, 2)]
+    assert personal_data._apart([(0, "email", 200)], base) == []
+    assert personal_data._apart([(0, "ip", 200), (100, "ip", 120)], base) == [(0, "ip", 200)]
+    assert personal_data._apart([(0, "email", 10), (60, "phone", 70)], base) == [(0, "email", 10), (60, "phone", 70)]
+
+
+def test_all_of_many_languages_are_learned(spark):
+    rows = []
+    for k in range(300):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        draw = random.Random(k)
+        rows += [(k * 10 + j, " ".join(draw.choice(letters) for _ in range(30)), f"l{k:03d}") for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.families) == 300
+    right = sum(model.predict(t)[0] == lang for _, t, lang in rows)
+    assert right > 0.97 * len(rows) and len({model.predict(t)[0] for _, t, _ in rows}) == 300
+
+
+def test_decontamination_in_blocks_equals_one_pass(spark, docs):
+    passages = [(k, prose(seed, 70)) for k, seed in enumerate((999, 2, 4, 1))] + [(7, "one"), (8, None)]
+    items = spark.createDataFrame(passages, "item_id long, text string")
+    odd = docs.withColumn("_hits", F.lit("x")).withColumn("row", F.lit(1))
+    want = sorted(map(str, decontaminate.decontaminate(odd, items, max_coverage=0.5).collect()))
+    assert want == sorted(map(str, decontaminate.decontaminate(odd, items, max_coverage=0.5, block_words=20).collect()))
+    assert len(want) < docs.count()
+
+
+def test_repetitive_items_take_linear_time():
+    import time
+
+    item = [b"same"] * 20_000
+    start = time.process_time()
+    model = decontaminate.Automaton([("a", item)])
+    found, held = model.hits(item)
+    assert len(found) == 20_000 - 9 and held == {0} and time.process_time() - start < 20
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    text, other = prose(31, 80), prose(32, 80)
+    rows = [(1, text, "en", "a", 0), (1, text, "en", "a", 0), (2, text, "en", "a", 0), (None, text, "en", "a", 0)] * 2
+    rows += [(5, other, "en", "a", 0), (5, other + " more", "en", "b", 0), (None, prose(33, 50), None, None, 0)] * 2
+    rows += [(None, None, None, None, 0), (None, " ", None, None, 0), (9, None, "en", "a", 0)]
+    found = minhash.deduplicate(table(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in found) == sorted(
+        [(1, text[:9]), (5, other[:9]), (0, prose(33, 50)[:9]), (0, ""), (0, " "), (9, "")]
+    )
+    again = minhash.deduplicate(table(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again))
