@@ -4,8 +4,9 @@ A text becomes hashed counts of byte 1-, 2- and 3-grams of its lower-cased lette
 descent) tell the families apart, one against the rest; inside the chosen family every pair of languages has its own
 model and the language with most pair wins (margins break ties) is predicted.
 
-The models learn from about ``PER_LANGUAGE`` texts of every language, chosen by a hash of the id; at most ``LANGUAGES`` languages, the
-most frequent ones, are learned. Every text is predicted from its whole text.
+The models learn from about ``PER_LANGUAGE`` texts of every language, chosen by a hash of the id; of these the family models take about
+``FAMILY_ROWS`` in all, but at least ``LEAST_ROWS`` of every family. Every language is learned, whatever their number: families are fitted in
+groups of ``FAMILIES_A_TASK``, and a model holds 2 ** BITS weights per family and per pair of one family. Every text is predicted from its whole text.
 
 Texts that are null or have no letter get ``und`` and score 0; so does every text if there is nothing to learn from. Rows
 with a null lang are predicted and not learned from, rows with a null doc_id likewise. Equal texts get equal results. Extra columns are
@@ -24,7 +25,9 @@ from logweir.llm.common import map_rows, mix, typed
 from logweir.llm.linear import hinge_model, hold_out, sigmoid, uniform
 
 PER_LANGUAGE = 1000
-LANGUAGES = 256
+FAMILY_ROWS = 16_000     # rows that the family models share
+LEAST_ROWS = 20          # rows of a family that are never thinned further
+FAMILIES_A_TASK = 16
 BITS = 16
 COST = 4.0
 SHARPNESS = 4.0
@@ -64,8 +67,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fit_groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """Models of one group: families against the rest (group ``*``) or pairs inside a family."""
-    group = frame["model"].iloc[0]
+    """Models of one group: some families against the rest (group ``*``) or pairs inside a family."""
+    group, only = frame["model"].iloc[0], set(frame["only"].iloc[0])
     frame = frame.sort_values(["id", "label", "slots"], kind="stable")
     rows = [
         (np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float))
@@ -74,7 +77,7 @@ def _fit_groups(frame: pd.DataFrame) -> pd.DataFrame:
     labels = frame["label"].to_numpy()
     names = sorted(set(labels))
     if group == "*":
-        pairs = [(name, "") for name in names] if len(names) > 1 else []
+        pairs = [(name, "") for name in names if name in only] if len(names) > 1 else []
     else:
         pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
     out = []
@@ -85,7 +88,7 @@ def _fit_groups(frame: pd.DataFrame) -> pd.DataFrame:
         weights = hinge_model([rows[k] for k in use], np.where(yes, 1.0, -1.0), 1 << BITS, cost)
         out.append((group, a, b, weights.astype("<f4").tobytes()))
     if not out:
-        out.append((group, names[0], "", b""))
+        out.append((group, names[0], "", b""))   # nothing to tell apart
     return pd.DataFrame(out, columns=["model", "a", "b", "weights"])
 
 
@@ -140,8 +143,7 @@ def fit(
     ).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~hold_out("id", FOLDS, HELD)
     )
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    rows = counts.collect()
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()   # one row per label
     if not rows:
         return Model([])
     rates = docs.sparkSession.createDataFrame(
@@ -159,20 +161,38 @@ def fit(
         typed("id long, lang string, family string, slots binary, values binary",
               id=docs.schema[id_col].dataType), row,
     ).filter(F.length("slots") > 0)
-    both = F.explode(F.array(
-        F.struct(F.lit("*").alias("model"), F.col("family").alias("label")),
-        F.struct(F.col("family").alias("model"), F.col("lang").alias("label")),
-    ))
-    # The family models share one budget of rows, so that no group grows with the number of languages.
-    share = min(1.0, 16 / len(rows))
-    groups = found.select("id", both.alias("g"), "slots", "values").select("id", "g.*", "slots", "values")
-    groups = groups.filter((F.col("model") != "*") | (F.pmod(F.xxhash64("id", "label"), F.lit(1000)) < 1000 * share))
-    models = groups.groupBy("model").applyInPandas(
+    inside = found.select(
+        F.col("family").alias("model"), F.lit(0).alias("task"), F.array().cast("array<string>").alias("only"), "id",
+        F.col("lang").alias("label"), "slots", "values",
+    )
+    models = inside.unionByName(_family_rows(found, rows, per_language)).groupBy("model", "task").applyInPandas(
         _fit_groups, "model string, a string, b string, weights binary"
     )
     return Model([tuple(r) for r in models.collect()])  # one small vector per family and pair
 
 
+def _family_rows(found: DataFrame, rows: list, per_language: int) -> DataFrame:
+    """Rows of the family models: every task has the same thinned rows and fits some families against all others."""
+    sizes: dict[str, float] = {}
+    for r in rows:
+        family = family_of(r.lang)
+        sizes[family] = sizes.get(family, 0.0) + min(r.n, per_language)
+    quota = max(LEAST_ROWS, FAMILY_ROWS / len(sizes))
+    names = sorted(sizes)
+    shares = [(name, min(1.0, quota / sizes[name])) for name in names]
+    tasks = [(k, names[at : at + FAMILIES_A_TASK]) for k, at in enumerate(range(0, len(names), FAMILIES_A_TASK))]
+    spark = found.sparkSession
+    thinned = found.join(F.broadcast(spark.createDataFrame(shares, "family string, share double")), "family").filter(
+        F.pmod(F.xxhash64(F.lit("family"), "id"), F.lit(1 << 20)) < F.lit(1 << 20) * F.col("share")
+    )
+    dealt = F.explode(F.array(*(
+        F.struct(F.lit(k).alias("task"), F.array(*map(F.lit, only)).alias("only")) for k, only in tasks
+    )))
+    return thinned.select(
+        F.lit("*").alias("model"), dealt.alias("t"), "id", F.col("family").alias("label"), "slots", "values"
+    ).select("model", "t.task", "t.only", "id", "label", "slots", "values")
+
+
 def languages(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
