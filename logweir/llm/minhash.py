@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logweir.llm.common import Rolling, WordHashes, lower_words, map_rows, mix, typed
 from logweir.llm.components import connected_components
@@ -271,10 +271,39 @@ def near_duplicates(
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component only, all columns kept."""
-    gone = near_duplicates(docs, id_col, **options).filter(~F.col("kept")).select(
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; all columns kept.
+
+    Of several rows of a kept id the one with the smallest row hash stays. Rows without an id have no component: of
+    those with one text one stays, and none if a row with an id has that text; without a word they all stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept")).select(
         F.col("doc_id").alias(id_col)
     )
     gone = materialise(gone.distinct(), "gone")
-    return docs.join(_small(gone), id_col, "left_anti")
+    named = docs.filter(F.col(id_col).isNotNull()).join(_small(gone), id_col, "left_anti").select(docs.columns)
+    again = materialise(
+        docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col),
+        "repeated",
+    )
+    out = named
+    if not again.isEmpty():
+        some = _small(again)
+        out = named.join(some, id_col, "left_anti").select(docs.columns).unionByName(
+            _one_each(named.join(some, id_col, "left_semi").select(docs.columns), F.col(id_col))
+        )
+    nameless = docs.filter(F.col(id_col).isNull())
+    if nameless.isEmpty():
+        return out
+    digest, wordless = F.sha2(F.col(text_col), 256), ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    unique = _one_each(nameless.filter(~wordless), digest)
+    seen = docs.filter(F.col(id_col).isNotNull()).select(digest.alias("_digest"))
+    held = unique.join(seen, digest == F.col("_digest"), "left_anti")
+    return out.unionByName(held).unionByName(nameless.filter(wordless))
+
+
+def _one_each(rows: DataFrame, key: Column) -> DataFrame:
+    """The row with the smallest hash for each key, picked with partial aggregation."""
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    best = rows.groupBy(key.alias("_key")).agg(F.min_by(whole, F.xxhash64(whole)).alias("_row"))
+    return best.select("_row.*")
