@@ -5,8 +5,8 @@ through it; where the longest match reaches the length of an item window, the wo
 Words are streamed only in stretches whose neighbouring pairs all occur in items (a numpy lookup): a longer match cannot
 leave such a stretch, so nothing is lost.
 
-The automaton is built from blocks of at most ``BLOCK_WORDS`` item words; every block is one narrow pass over the
-documents, without a shuffle. Only a block is ever on the driver.
+The automaton is built from blocks of about ``BLOCK_WORDS`` item words; every block is one narrow pass over the
+documents, without a shuffle, written before the next one starts. Only a block is ever on the driver, or in a task.
 
 Null and empty texts have no words and are never hit; null and empty items have no windows. Repeated items and ids are counted
 by distinct item id, a null item id is left out. Repeated documents are judged row by row. Extra columns are kept by
@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import covered, map_rows, repeat_get, typed
+from logweir.llm.common import covered, map_rows, repeat_get, slices, typed
+from logweir.session import materialise
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 _PAIR_BITS = 22
 _SEPARATORS = bytes(
     c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -71,6 +74,15 @@ class Automaton:
                     state = self.next[state][word]
                 self.targets.setdefault((state, width), set()).add(k)
         self.widths = sorted({width for _, width in self.targets})
+        self.ends = {width: self._ends(width) for width in self.widths}
+
+    def _ends(self, width: int) -> array:
+        """Per state, the state of its last ``width`` words: the suffix link is followed once per state."""
+        up = array("i", bytes(4 * len(self.length)))
+        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            link = self.link[state]
+            up[state] = up[link] if self.length[link] >= width else state
+        return up
 
     def _state(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.length.append(length)
@@ -135,10 +147,7 @@ class Automaton:
                 for width in self.widths:
                     if width > matched:
                         break
-                    up = state
-                    while self.length[self.link[up]] >= width:
-                        up = self.link[up]
-                    holders = self.targets.get((up, width))
+                    holders = self.targets.get((self.ends[width][state], width))
                     if holders:
                         found.append((at - width + 1, width))
                         items |= holders
@@ -188,6 +197,8 @@ def item_hits(
         block = _block(items, item_id, item_text, k, count)
         automaton = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
         keep = keep_text or k + 1 < count
+        if k:
+            out = materialise(out, "item-block")   # one automaton in a task at a time
 
         def row(shared, doc_id, text, _, found, held, keep=keep):
             words = item_words(text)
@@ -252,18 +263,48 @@ def decontaminate(
     A span is removed if it has at least ``min_span`` words, a document if more than ``max_coverage`` of its words
     are hit. All columns of ``docs`` are returned.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-
-    def row(_, whole, text, n, found, held):
-        if not found:
-            return whole, text, True
-        mask = _hit_words(n, found)
-        return whole, cut_spans(text, mask, min_span), bool(mask.mean() <= max_coverage)
-
-    fields = typed("row long, body string, stay boolean", row=packed.schema["row"].dataType)
-    cut = map_rows(item_hits(packed, items, id_col="row", **options), fields, row).filter("stay")
-    return cut.select(*(_column(c, text_col) for c in docs.columns))
-
-
-def _column(name: str, text_col: str) -> Column:
-    return (F.col("body") if name == text_col else F.col("row").getField(name)).alias(name)
+    item_id, item_text = options.get("item_id", "item_id"), options.get("item_text", "text")
+    count = _block_count(items, item_text, options.get("block_words", BLOCK_WORDS))
+    at, held = docs.columns.index(text_col), len(docs.columns)
+    hits = "_hits"
+    while hits in docs.columns:
+        hits += "_"
+    out = docs if count == 1 else docs.withColumn(hits, F.lit(None).cast("binary"))
+    for k in range(count):
+        automaton = docs.sparkSession.sparkContext.broadcast(
+            Automaton(_block(items, item_id, item_text, k, count), options.get("window", WINDOW))
+        )
+
+        def run(batches, shared=automaton, last=k + 1 == count):
+            """Hit words of earlier blocks are a bit mask in the last column; the last block cuts the texts."""
+            for batch in batches:
+                for part in slices(batch):
+                    masks = part.column(held).to_pylist() if count > 1 else [None] * part.num_rows
+                    texts = part.column(at).to_pylist()
+                    found = [_hit_mask(shared.value, text, mask) for text, mask in zip(texts, masks)]
+                    if not last:
+                        column = pa.array([None if m is None else np.packbits(m).tobytes() for m in found], pa.binary())
+                        yield part.set_column(held, part.schema.field(held), column)
+                        continue
+                    if any(m is not None for m in found):
+                        cut = [t if m is None else cut_spans(t, m, min_span) for t, m in zip(texts, found)]
+                        part = part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type))
+                    stay = [m is None or bool(m.mean() <= max_coverage) for m in found]
+                    yield part.filter(pa.array(stay, pa.bool_()))
+
+        if k:
+            out = materialise(out, "item-block")
+        out = out.mapInArrow(run, out.schema)
+    return out.select(*docs.columns)
+
+
+def _hit_mask(automaton: Automaton, text: str | None, packed: bytes | None) -> np.ndarray | None:
+    """Which words of a text are hit, by this automaton or by earlier ones (``packed``); None if none is."""
+    words = item_words(text)
+    new, _ = automaton.hits(words)
+    if not new and packed is None:
+        return None
+    mask = _hit_words(len(words), [{"start": s, "width": w} for s, w in new])
+    if packed is not None:
+        mask |= np.unpackbits(np.frombuffer(packed, np.uint8), count=len(words)).astype(bool)
+    return mask
