@@ -2,15 +2,18 @@
 
 ``row_number()`` over an unpartitioned order runs in one task. Here the order is cut
 into slices, rows are numbered inside their slice, and the number of rows in the
-earlier slices is added. The slice table is bounded by the number of slices, so it
-is the only thing that is broadcast.
+earlier slices is added. The cuts are quantiles from a mergeable sketch, so slices are of about one size whatever the
+distribution; a value that fills more than its slice is cut again by the quantiles of the first tie column. The slice table
+is bounded by the number of slices, so it is the only thing that is broadcast.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from logweir.session import scratch_path
 
@@ -39,16 +42,60 @@ def _number_slices(
     )
 
 
+def _quantiles(column: str, slices: int) -> Column:
+    """Cuts of a numeric column into ``slices`` parts of about one size."""
+    shares = ", ".join(f"{k / slices}D" for k in range(1, slices)) or "1D"
+    return F.expr(f"percentile_approx(cast(`{column}` as double), array({shares}), {8 * max(slices, 100)})")
+
+
+def _slice_of(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Adds the number of cuts that are not above the value; -1 for a null, which sorts first."""
+    from pyspark.ml.feature import Bucketizer
+
+    counts = Counter(cuts)
+    # A cut that repeats is a value of several shares: it gets a slice of its own.
+    alone = [math.nextafter(c, math.inf) for c, n in counts.items() if n > 1]
+    edges = [-math.inf, *sorted({*counts, *alone}), math.inf]
+    if len(edges) < 3:
+        return df.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    held = df.withColumn("_x", F.col(column).cast("double"))
+    # A binary search per row; Bucketizer keeps the columns' order and types.
+    found = Bucketizer(splits=edges, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(held)
+    return found.withColumn(out, F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int"))).drop("_x", "_b")
+
+
+def cut_slices(df: DataFrame, order: str, ties: Sequence[str] = (), slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+    """(rows with `_slice`, rows per slice); slices follow the order and hold about one share of the rows each."""
+    cuts = df.select(_quantiles(order, slices).alias("cuts")).first()["cuts"] or []
+    cut = _slice_of(df, order, cuts, "_slice")
+    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    rows = sizes.collect()   # one row per slice
+    most = 2 * max(1, -(-sum(r["_n"] for r in rows) // slices))
+    numeric = ties and isinstance(df.schema[ties[0]].dataType, T.NumericType)
+    crowded = [r["_slice"] for r in rows if r["_n"] > most and r["_lo"] == r["_hi"]] if numeric else []
+    spark = df.sparkSession
+    if not crowded:
+        table = spark.createDataFrame([(r["_slice"], r["_n"]) for r in rows], "_slice int, _n bigint")
+        return cut, table
+    # At most half of all slices can hold more than two shares, so the second cuts are bounded, too.
+    share = {r["_slice"]: -(-2 * r["_n"] // most) for r in rows}
+    inner = cut.filter(F.col("_slice").isin(crowded)).groupBy("_slice").agg(
+        _quantiles(ties[0], max(share[k] for k in crowded)).alias("cuts")
+    ).collect()
+    place = F.lit(0)
+    for r in inner:
+        edges = F.expr("array(" + ", ".join(f"{float(c)!r}D" for c in sorted(set(r["cuts"] or []))) + ")")
+        at = F.size(F.filter(edges, lambda c: c <= F.col(ties[0]).cast("double")))
+        place = F.when(F.col("_slice") == r["_slice"], F.coalesce(at, F.lit(-1))).otherwise(place)
+    parted = cut.withColumn("_slice", F.col("_slice").cast("bigint") * (4 * slices) + place)
+    return parted, parted.groupBy("_slice").agg(F.count("*").alias("_n"))
+
+
 def global_index(
     df: DataFrame, order: str, ties: Sequence[str] = (), out: str = "idx", slices: int = SLICES
 ) -> DataFrame:
-    """0-based rank of every row by an integral column (ties broken by ``ties``)."""
-    span = df.agg(
-        F.struct(F.min(order).cast("bigint").alias("lo"), F.max(order).cast("bigint").alias("hi"))
-    ).scalar()
-    width = F.greatest(F.ceil((span["hi"] - span["lo"] + 1) / F.lit(slices)), F.lit(1))
-    cut = df.withColumn("_slice", F.floor((F.col(order) - span["lo"]) / width).cast("int"))
-    counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
+    """0-based rank of every row by a numeric column (ties broken by ``ties``); nulls come first."""
+    cut, counts = cut_slices(df, order, ties, slices)
     return _number_slices(
         cut, [], [F.col(order), *map(F.col, ties)], _earlier(counts, []), out
     )

@@ -123,3 +123,21 @@ def test_sorted_index_with_several_files_per_task(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert all(r["idx"] == r["v"] for r in got) and len(got) == 1000
+
+
+@pytest.mark.parametrize("kind", ["outlier", "ties", "nulls"])
+def test_slices_are_even(spark, kind):
+    """One far value, or a value that half of the rows share, leaves no slice above twice the mean."""
+    rows = 20_000
+    df = spark.range(rows).select(F.col("id").alias("t"), {
+        "outlier": F.when(F.col("id") == 7, F.lit(10**15)).otherwise(F.col("id") * 3),
+        "ties": F.when(F.col("id") % 2 == 0, F.lit(5)).otherwise(F.col("id")),
+        "nulls": F.when(F.col("id") % 100 != 0, F.col("id") % 1000),
+    }[kind].cast("bigint").alias("o")).repartition(5)
+    _, sizes = ranks.cut_slices(df, "o", ["t"], slices=50)
+    counts = [r["_n"] for r in sizes.collect()]
+    assert sum(counts) == rows and max(counts) <= 2 * rows / 50
+    got = ranks.global_index(df, "o", ["t"], slices=50).collect()
+    want = sorted(((r["o"] is not None, r["o"] or 0, r["t"]) for r in got))
+    assert [(r["o"] is not None, r["o"] or 0, r["t"]) for r in sorted(got, key=lambda r: r["idx"])] == want
+    assert [r["idx"] for r in sorted(got, key=lambda r: r["idx"])] == list(range(rows))
