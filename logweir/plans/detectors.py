@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from logweir.operators.classify import SessionClassifier
 from logweir.operators.clusters import LogClusterModel, fit_log_clusters
@@ -16,11 +16,14 @@ from logweir.operators.density import (
 )
 from logweir.operators.features import (
     CountModel,
+    column_means,
     dense_vectors,
+    event_counts,
     sequence_vectors,
 )
 from logweir.operators.ica import IcaModel
 from logweir.operators.pca import PcaDetector
+from logweir.operators.sparse_pca import SparsePca
 from logweir.operators.splits import labelled_normals, sample_normals
 from logweir.session import materialise
 
@@ -48,6 +51,30 @@ class CountPca:
         )
 
 
+@dataclass
+class WideCountPca:
+    """As CountPca for any number of events: features stay long tables, the vocabulary is never collected."""
+
+    features: CountModel
+    detector: SparsePca
+
+    @staticmethod
+    def fit(seq: DataFrame, n_components: float, threshold: float | None = None, zero_mean: bool = False, **kw):
+        counts = event_counts(seq)
+        model = CountModel.fit(seq, "tf-idf", **kw)
+        x = materialise(model.transform(seq), "features")
+        n = counts.select("session_id").distinct().count()
+        means = None
+        if zero_mean:
+            held = column_means(x, F.lit(n))
+            means = model.table.select("event").join(held, "event", "left").fillna(0.0, ["mean"])
+        return WideCountPca(model, SparsePca.fit(x, n_components, means, n, threshold=threshold))
+
+    def transform(self, seq: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+        """Scores of all sessions, also of those without any known event."""
+        return self.detector.transform(self.features.transform(seq), seq if sessions is None else sessions)
+
+
 @dataclass
 class SemanticPca:
     """PCA residuals of summed event vectors."""

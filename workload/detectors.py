@@ -9,17 +9,23 @@ from logweir.operators import clusters as K
 from logweir.operators import density as D
 from logweir.operators import next_event as N
 from logweir.operators.classify import SessionClassifier
-from logweir.operators.features import CountModel, dense_vectors, event_counts
+from logweir.functions.columns import explode_once
+from logweir.functions.text import tokens
+from logweir.operators.features import (
+    CountModel, column_means, dense_vectors, event_counts, fit_idf, session_count, tfidf,
+)
+from logweir.operators.hierarchy import DensityHierarchy
 from logweir.operators.evaluate import sweep
 from logweir.operators.ica import IcaModel
 from logweir.operators.pca import gram_rows
+from logweir.operators.sparse_pca import SparsePca
 from logweir.operators.splits import encode_sequences, event_index
 from logweir.operators.windows import sliding_windows
-from logweir.plans.detectors import ClusterDetector, CountPca, PuDetector, SemanticPca
+from logweir.plans.detectors import ClusterDetector, CountPca, PuDetector, SemanticPca, WideCountPca
 from logweir.session import materialise
 from workload.features import C_SQL, U_SQL, r, user_sequences, windows_sql
 from workload.fixtures import (
-    M_SQL, S_SQL, is_train, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
+    M_SQL, S_SQL, documents, is_train, TRAIN_SQL, V_SQL, event_vectors, members, sequences, sessions, vectors,
 )
 from workload.registry import query
 
@@ -71,6 +77,51 @@ def pca_semantic_sessions(spark, sf_dir):
     )
 
 
+@query(f"""WITH {C_SQL},
+ix AS (SELECT event, (row_number() OVER (ORDER BY event) - 1) % 3 AS part FROM (SELECT DISTINCT event FROM w)),
+parts AS (SELECT part, count(*) AS size FROM ix GROUP BY 1),
+ns AS (SELECT count(DISTINCT session_id) AS n FROM w),
+mu AS (SELECT event, sum(x) / (SELECT n FROM ns) AS mean FROM w GROUP BY 1),
+dense AS (SELECT ids.session_id, ix.part, coalesce(w.x, 0) - mu.mean AS x
+  FROM (SELECT DISTINCT session_id FROM w) ids CROSS JOIN ix JOIN mu USING (event)
+  LEFT JOIN w ON w.session_id = ids.session_id AND w.event = ix.event),
+inner_ AS (SELECT session_id, part, sum(x * x) AS s, sum(x) AS t FROM dense GROUP BY 1, 2)
+SELECT session_id, round(sum(s) - sum(t * t / size), 6) + 0.0 AS spe FROM inner_ JOIN parts USING (part) GROUP BY 1""")
+def sparse_spe(spark, sf_dir):
+    """Residuals of centred tf-idf counts outside three given components, from the long table."""
+    seq = sequences(spark, sf_dir)
+    model = CountModel.fit(seq, "tf-idf")
+    x = materialise(model.transform(seq), "features")
+    index = event_index(seq.select("event")).select("event", (F.col("idx") % 3).alias("part"))
+    size = index.groupBy("part").agg((1 / F.sqrt(F.count("*"))).alias("p"))
+    components = index.join(size, "part").select(
+        "event", F.array(*(F.when(F.col("part") == c, F.col("p")).otherwise(0.0) for c in range(3))).alias("vec")
+    )
+    means = column_means(x, session_count(event_counts(seq)))
+    return SparsePca.given(components, means=means).score(x, seq).withColumn("spe", r("spe"))
+
+
+@query()
+def pca_wide_sessions(spark, sf_dir):
+    """As pca_count_sessions, through the sparse path."""
+    seq = materialise(sequences(spark, sf_dir), "sequences")
+    model = WideCountPca.fit(seq.filter(is_train()), n_components=4)
+    return model.transform(seq).join(_labels(spark, sf_dir), "session_id").select(
+        "session_id", r("spe").alias("spe"), "predicted", "label"
+    )
+
+
+@query()
+def pca_wide_words(spark, sf_dir):
+    """Residuals of all documents over tf-idf counts of all their words: as many events as there are words."""
+    words = explode_once(documents(spark, sf_dir), "doc_id", name="event", values=tokens("text"))
+    counts = event_counts(words.withColumnRenamed("doc_id", "session_id"))
+    counts = materialise(counts, "word-counts")
+    x = tfidf(counts, fit_idf(counts))
+    model = SparsePca.fit(x, 4, rounds=6)
+    return model.transform(x).select(F.col("session_id").alias("doc_id"), r("spe", 3).alias("spe"), "predicted")
+
+
 # ---- clusters --------------------------------------------------------------------------
 
 NEAR_SQL = (
@@ -338,6 +389,60 @@ def density_clusters(spark, sf_dir):
     )
 
 
+@query(f"""WITH RECURSIVE {M_SQL},
+c AS (SELECT session_id, event_key AS event, count(*) AS cnt FROM m GROUP BY 1, 2),
+g AS (SELECT session_id, string_agg(event || ':' || cnt, ' ' ORDER BY event) AS vec FROM c GROUP BY 1),
+p AS MATERIALIZED (SELECT vec, min(session_id) AS sid, count(*) AS w, row_number() OVER (ORDER BY min(session_id)) AS id
+  FROM g GROUP BY vec),
+x AS MATERIALIZED (SELECT p.id, event, cnt FROM c JOIN p ON c.session_id = p.sid),
+nn AS (SELECT id, sum(cnt * cnt) AS n FROM x GROUP BY 1),
+dots AS (SELECT a.id AS a, b.id AS b, sum(a.cnt * b.cnt) AS d FROM x a JOIN x b USING (event) GROUP BY 1, 2),
+dist AS MATERIALIZED (SELECT s.id AS a, t.id AS b, CAST(s.n + t.n - 2 * coalesce(d, 0) AS BIGINT) AS d2
+  FROM nn s CROSS JOIN nn t LEFT JOIN dots ON dots.a = s.id AND dots.b = t.id),
+reach AS (SELECT a, d2, sum(w) OVER (PARTITION BY a ORDER BY d2, b) AS total FROM dist JOIN p ON p.id = b),
+core AS MATERIALIZED (SELECT a AS id, min(d2) AS core FROM reach WHERE total >= 4 GROUP BY a),
+mr AS MATERIALIZED (SELECT a, list(greatest(d2, ca.core, cb.core) ORDER BY b) AS m
+  FROM dist JOIN core ca ON ca.id = a JOIN core cb ON cb.id = b GROUP BY a),
+prim AS (
+  SELECT CAST(-1 AS BIGINT) AS got, m AS best, [k = 1 for k in range(1, len(m) + 1)] AS done FROM mr WHERE a = 1
+  UNION ALL
+  SELECT lo, list_transform(best, lambda v, i: least(v, mr.m[i])), list_transform(done, lambda v, i: v OR i = nx)
+  FROM (SELECT *, list_position(masked, lo) AS nx FROM (
+      SELECT *, list_min(masked) AS lo FROM (
+        SELECT *, list_transform(best, lambda v, i: CASE WHEN done[i] THEN NULL ELSE v END) AS masked FROM prim))
+      WHERE lo IS NOT NULL) q JOIN mr ON mr.a = q.nx)
+SELECT round(sqrt(got), 6) + 0.0 AS d, count(*) AS n FROM prim WHERE got >= 0 GROUP BY 1""")
+def density_tree(spark, sf_dir):
+    """Edge weights of the minimum spanning tree of mutual reachability, on the counts of all event keys."""
+    points = D.distinct_vectors(_key_counts(spark, sf_dir))
+    tree = DensityHierarchy(min_cluster_size=8, min_samples=4).tree(points)
+    return tree.edges.groupBy(r("d").alias("d")).agg(F.count("*").alias("n"))
+
+
+@query()
+def density_hierarchy(spark, sf_dir):
+    """Size of the cluster of every session and its outlier score, from all density levels."""
+    found = DensityHierarchy(min_cluster_size=8, min_samples=4).fit_predict(_key_counts(spark, sf_dir))
+    found = materialise(found.select("session_id", "cluster", "outlier"), "density")
+    sizes = found.filter(F.col("cluster") >= 0).groupBy("cluster").agg(F.count("*").alias("size"))
+    return found.join(sizes, "cluster", "left").select(
+        "session_id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), r("outlier").alias("outlier")
+    )
+
+
+@query()
+def hierarchy_labels(spark, sf_dir):
+    """Labels propagated from half of the train normals over clusters of all density levels, on tf-idf counts of all event keys."""
+    from logweir.operators.splits import labelled_normals as first_half
+
+    data = _count_vectors(spark, sf_dir)
+    found = materialise(D.DensityLabeller(min_cluster_size=20, min_samples=10).fit_predict(data), "density")
+    labels = D.with_confidence(D.propagate_labels(found, first_half(data.filter(is_train()))))
+    return labels.select(
+        "session_id", "cluster", "predicted", r("confidence").alias("confidence"), "label"
+    )
+
+
 def _key_counts(spark, sf_dir):
     """(session_id, vec): counts of the event keys."""
     seq = materialise(sequences(spark, sf_dir), "sequences")
