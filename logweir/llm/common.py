@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
-HASHED_WORDS = 1 << 18   # words that a cache of a task holds at most
+HASHED_WORDS = 1 << 16   # words that a cache of a task holds at most
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -115,10 +116,18 @@ def map_rows(
             for part in slices(batch):
                 out = [row(state, *values) for values in zip(*(c.to_pylist() for c in part.columns))]
                 yield from_rows(out, arrow)
+        del state
+        release_memory()
 
     return df.mapInArrow(run, fields)
 
 
+def release_memory() -> None:
+    """Give memory that a task no longer needs back to the system; its worker process lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def typed(ddl: str, **kinds: T.DataType) -> T.StructType:
     """The fields of ``ddl``, some of them with the type of a given column."""
     return T.StructType([

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import covered, map_rows, repeat_get, slices, typed
+from logweir.llm.common import covered, map_rows, release_memory, repeat_get, slices, typed
 from logweir.session import materialise
 
 WINDOW = 10
@@ -291,6 +291,7 @@ def decontaminate(
                         part = part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type))
                     stay = [m is None or bool(m.mean() <= max_coverage) for m in found]
                     yield part.filter(pa.array(stay, pa.bool_()))
+            release_memory()
 
         if k:
             out = materialise(out, "item-block")

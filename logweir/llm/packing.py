@@ -28,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from logweir.llm.common import from_rows, slices, trim_cache
+from logweir.llm.common import from_rows, release_memory, slices, trim_cache
 from logweir.session import materialise
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_GROUP = 4096       # open windows that are merged by one task
 CACHED_WORDS = 1 << 18
+ENCODED_AT_ONCE = 2048
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
@@ -74,9 +75,11 @@ class WordIds(dict):
         plain = words.difference(ended)
         plain.update(",.", (w[:-1] for w in ended))
         todo = [w for w in plain if w not in self]
-        for word, encoded in zip(todo, self.encode(todo, add_special_tokens=False)):
-            ids = encoded.ids
-            self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(todo), ENCODED_AT_ONCE):   # an encoding holds much more than the ids
+            some = todo[at : at + ENCODED_AT_ONCE]
+            for word, encoded in zip(some, self.encode(some, add_special_tokens=False)):
+                ids = encoded.ids
+                self[word] = struct.pack(f"<{len(ids)}I", *ids)
         self.update((w, self[w[:-1]] + self[w[-1]]) for w in ended)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
@@ -167,7 +170,7 @@ def pack(
 
         windows = OpenWindows(window, open_windows, emit)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 128):
                 coded = ids.of(part.column(1).to_pylist())
                 for doc_id, data in zip(part.column(0).to_pylist(), coded):
                     for piece in pieces(doc_id, data + end, window):
@@ -179,6 +182,7 @@ def pack(
             emit(items, True)
         if rows:
             yield from_rows(rows, arrow)
+        release_memory()
 
     placed = materialise(
         docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, fields), "pack"

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import WordHashes, map_rows, mix, slices, typed
+from logweir.llm.common import WordHashes, map_rows, mix, release_memory, slices, typed
 from logweir.llm.linear import calibration, hinge_model, hold_out, sigmoid, uniform
 
 PER_CLASS = 3000
@@ -168,5 +168,7 @@ def good_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
                 texts = part.column(at).to_pylist()
                 good = [shared.value.score(features(t, hashes)) >= THRESHOLD for t in texts]
                 yield part.filter(pa.array(good, pa.bool_()))
+        del hashes
+        release_memory()
 
     return docs.mapInArrow(keep, docs.schema)
