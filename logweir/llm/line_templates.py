@@ -1,22 +1,23 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-Lines go down a tree of fixed depth: token count, then the first three tokens (tokens with a digit or @ are ``<*>``). In a leaf a token that
-fewer than ``MIN_DOCS`` lines share at its place is a variable field; a line with its variable fields as ``<*>`` is
-its template. A template that recurs is dropped, in all documents, where it has
-
-* at least ``MIN_TOKENS`` tokens, at least half of them constant,
-* lines in at least ``MIN_DOCS`` documents,
-* and at least half as many document classes as documents. A class is a pair of smallest line hashes, which copies of one
-  document share: lines of copies are left to document dedup, boilerplate of unlike documents goes.
-
-With ``share`` a line has a second template, whose constant tokens are held by ``MIN_DOCS`` documents and by that share of the
-documents of the leaf, and goes if either recurs: names and places stay variable fields however often they occur.
+Lines go down a tree of fixed depth: token count, then the first three tokens (tokens with a digit or @ are ``<*>``). Inside a leaf,
+templates part by the tokens that most lines share: of a line of n tokens the ceil(n / 2) whose token is held, at its place, by most lines of the
+leaf (the earlier place of equal ones) are its template, all others are variable fields. The rule has no count that decides
+between constant and variable: a template's own tokens are in all of its lines, a field's value only in some of them, at any size of the input
+and beside any number of other templates of the leaf. A template that recurs is dropped, in all documents, where
+
+* the lines have at least ``MIN_TOKENS`` tokens, and each token of the template lies in ``MIN_DOCS`` lines,
+* at least ``MIN_DOCS`` different texts have such lines,
+* and these have at least half as many classes as there are texts. The class is the smallest hash of a text's pieces between punctuation
+  (of ``PIECE_CHARS`` characters and more; of the whole text where there is none), which near copies of one document mostly share
+  even if it is a single line: lines of near copies are left to document dedup, boilerplate of unlike documents goes. Exact copies are
+  one text, however many there are.
 
 Two narrow passes over the texts count leaves and cut out the lines of leaves that can hold a recurring template; only these are
-shuffled. Small results are broadcast behind a count of their rows, larger ones joined by shuffles.
+shuffled. Results are broadcast behind a count of their bytes (``BROADCAST_BYTES``), larger ones joined by shuffles.
 
-Null texts stay null, have no lines and drop none; empty lines are kept. Repeated rows (same id and text) count as one document and are
-cut alike; a null id is an id of its own. Other columns are kept, whatever their names. Empty tables give empty results.
+Null texts stay null, have no lines and drop none; empty lines are kept. Rows with one text are cut alike, whatever their ids. Other
+columns are kept, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,33 +29,31 @@ from logweir.session import materialise
 MIN_DOCS = 5
 MIN_TOKENS = 4
 LEADING = 3
-SHARE = 0.1
-BROADCAST_ROWS = 1_000_000  # rows of at most a few numbers each
+PIECE_CHARS = 20
+BROADCAST_BYTES = 1 << 26
 
 FIELD = "<*>"
 VARIABLE = r"[^ \t\n\x0B\f\r]*[0-9@][^ \t\n\x0B\f\r]*"
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast only if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def _salted(salt: str):
-    return lambda line: F.md5(F.concat(F.lit(salt), line))
+def sized(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """A written table, marked for broadcast only if its rows take at most ``BROADCAST_BYTES``."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line number, masked tokens and leaf of the lines with enough tokens, with the class of the document."""
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """text hash, line number, masked tokens and leaf of the lines with enough tokens, with the class of the text."""
     text = F.col(text_col)
     masked = F.when(
         text.rlike("[0-9@]"), F.regexp_replace(text, VARIABLE, FIELD)
     ).otherwise(text)
-    smallest = [F.array_min(F.transform(F.split(text, "\n"), _salted(salt))) for salt in "12"]
+    pieces = F.filter(F.split(text, "[.,;:!?\n]"), lambda x: F.length(x) >= PIECE_CHARS)
+    smallest = F.coalesce(F.array_min(F.transform(pieces, F.md5)), F.md5(text))
     # What belongs to a document is computed below the generator, what belongs to a line inside it: each once.
     base = docs.select(
-        F.xxhash64(F.col(id_col), text).alias("doc"),
-        F.xxhash64(*smallest).alias("class"),
+        F.xxhash64(text).alias("doc"),
+        F.xxhash64(smallest).alias("class"),
         F.translate(masked, "\t\x0b\f\r", "    ").alias("masked"),
     )
     lines = F.transform(
@@ -71,58 +70,39 @@ def _message() -> Column:
     return F.md5(F.array_join("tokens", " "))
 
 
-def _shared_tokens(lines: DataFrame, share: float) -> DataFrame:
-    """leaf, place, token that at least ``MIN_DOCS`` documents and a share of the leaf's documents hold."""
-    sizes = lines.groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("size"))
-    places = lines.select("leaf", "doc", F.posexplode("tokens").alias("place", "token"))
-    tokens = (
-        places.groupBy("leaf", "place", "token", "doc").agg(F.lit(1).alias("one"))
-        .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    )
-    return tokens.join(sized(materialise(sizes, "sizes")), "leaf").filter(
-        F.col("n") >= share * F.col("size")
-    ).select("leaf", "place", "token", F.lit(True).alias("constant"))
-
-
-def _templates(places: DataFrame, constants: DataFrame) -> DataFrame:
-    """leaf, message, template of the messages with enough constant tokens."""
-    return places.drop("n").join(constants, ["leaf", "place", "token"], "left").groupBy(
-        "leaf", "message"
-    ).agg(
-        F.count_if(F.col("constant") & (F.col("token") != FIELD)).alias("constants"),
-        F.count("*").alias("tokens"),
-        F.bit_xor(F.xxhash64("place", F.when(F.col("constant"), F.col("token")).otherwise(FIELD))).alias("template"),
-    ).filter(F.col("constants") * 2 >= F.col("tokens")).select("leaf", "message", "template")
-
-
-def recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None
-) -> DataFrame:
-    """doc (a hash of id and text) and number of the lines whose template recurs."""
-    lines = _lines(docs, id_col, text_col)
+def recurring_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc (a hash of the text) and number of the lines whose template recurs."""
+    lines = _lines(docs, text_col)
     leaves = materialise(
         lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS).select("leaf"),
         "leaves",
     )
     some = materialise(
-        lines.join(sized(leaves), "leaf", "left_semi").withColumn("message", _message()), "lines"
+        lines.join(sized(leaves, 48), "leaf", "left_semi").withColumn("message", _message()), "lines"
     )
     # Equal lines are one message; the tokens of a message are counted with its lines.
     messages = some.groupBy("leaf", "message").agg(
         F.count("*").alias("n"), F.first("tokens").alias("tokens")
     )
-    places = messages.select("leaf", "message", "n", F.posexplode("tokens").alias("place", "token"))
-    frequent = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(
-        F.col("n") >= MIN_DOCS
-    ).select("leaf", "place", "token", F.lit(True).alias("constant"))
-    templates = _templates(places, frequent)
-    if share is not None:
-        shared = _templates(places, _shared_tokens(some, share))
-        # A template of its own, even where its tokens are those of one by counts.
-        templates = templates.union(shared.withColumn("template", F.xxhash64("template")))
-    templates = materialise(templates, "templates")
-    held = some.select("doc", "class", "line", "leaf", "message").join(templates, ["leaf", "message"])
-    # Documents of a class are counted before classes meet, so a hot template is summed in parts.
+    places = messages.select(
+        "leaf", "message", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token")
+    ).filter(F.col("token") != FIELD)
+    frequent = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("lines")).filter(F.col("lines") >= MIN_DOCS)
+    kept = F.slice(F.col("held"), F.lit(1), F.ceil(F.col("size") / 2).cast("int"))
+    templates = materialise(
+        places.drop("n").join(frequent, ["leaf", "place", "token"])
+        .groupBy("leaf", "message", "size").agg(
+            F.array_sort(F.collect_list(F.struct(
+                (-F.col("lines")).alias("lines"), "place", F.xxhash64("place", "token").alias("token")
+            ))).alias("held")
+        )
+        .filter(F.size("held") * 2 >= F.col("size"))
+        # Lines with the same tokens have the same counts for them, and so the same order.
+        .select("leaf", "message", F.xxhash64(F.transform(kept, lambda c: c["token"])).alias("template")),
+        "templates",
+    )
+    held = some.select("doc", "class", "leaf", "message").join(templates, ["leaf", "message"])
+    # Texts of a class are counted before classes meet, so a hot template is summed in parts.
     classes = (
         held.groupBy("leaf", "template", "class", "doc").agg(F.lit(1).alias("one"))
         .groupBy("leaf", "template", "class").agg(F.count("*").alias("docs"))
@@ -135,21 +115,18 @@ def recurring_lines(
         ).select("leaf", "message"),
         "recurring",
     )
-    return some.join(sized(recurring), ["leaf", "message"], "left_semi").select("doc", "line")
+    return some.join(sized(recurring, 112), ["leaf", "message"], "left_semi").select("doc", "line")
 
 
-def drop_recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False,
-    share: float | None = None,
-) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` without recurring lines; with ``counts`` also ``n_lines`` and ``n_dropped``."""
     cut = materialise(
-        recurring_lines(docs, id_col, text_col, share).groupBy("doc").agg(F.collect_set("line").alias("cut")),
-        "cut",
+        recurring_lines(docs, text_col).groupBy("doc").agg(F.collect_set("line").alias("cut")), "cut",
     ).select(F.col("doc").alias("__recurring_doc"), F.col("cut").alias("__recurring_cut"))
     text = F.col(text_col)
-    key = F.xxhash64(F.col(id_col), text)
-    joined = docs.join(sized(cut), key == F.col("__recurring_doc"), "left")
+    joined = docs.join(
+        sized(cut, 64 + 8 * F.size("__recurring_cut")), F.xxhash64(text) == F.col("__recurring_doc"), "left"
+    )
     kept = F.filter(
         F.split(text, "\n"), lambda x, i: ~F.array_contains("__recurring_cut", i)
     )

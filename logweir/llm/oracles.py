@@ -114,52 +114,53 @@ def _line_templates() -> str:
     least, lead = line_templates.MIN_DOCS, line_templates.LEADING
     return rf"""
 WITH docs AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+  SELECT row_number() OVER () AS row, doc_id, text, string_split(text, chr(10)) AS parts,
     string_split(regexp_replace(text, '[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) AS masked
   FROM documents
 ),
 classes AS (
-  SELECT doc_id, list_min(list_transform(parts, lambda x: md5('1' || x)))
-    || list_min(list_transform(parts, lambda x: md5('2' || x))) AS class FROM docs
+  SELECT row, coalesce(list_min(list_transform(list_filter(string_split_regex(text, '[.,;:!?\n]'),
+    lambda x: length(x) >= {line_templates.PIECE_CHARS}), lambda x: md5(x))), md5(text)) AS class FROM docs
 ),
 lines AS (
-  SELECT doc_id, unnest(masked) AS body, generate_subscripts(masked, 1) AS line FROM docs
+  SELECT row, unnest(masked) AS body, generate_subscripts(masked, 1) AS line FROM docs
 ),
 split AS (
-  SELECT doc_id, line, regexp_extract_all(body, {WORDS}) AS tokens FROM lines
+  SELECT row, line, regexp_extract_all(body, {WORDS}) AS tokens FROM lines
 ),
 leaves AS (
-  SELECT *, array_to_string(tokens, ' ') AS message,
-    len(tokens) || ' ' || array_to_string(tokens[1:{lead}], ' ') AS leaf
+  SELECT *, len(tokens) AS size, len(tokens) || ' ' || array_to_string(tokens[1:{lead}], ' ') AS leaf
   FROM split WHERE len(tokens) >= {line_templates.MIN_TOKENS}
 ),
 places AS (
-  SELECT leaf, message, doc_id, line, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM leaves
+  SELECT leaf, size, row, line, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM leaves
 ),
 counted AS (
-  SELECT *, count(*) OVER (PARTITION BY leaf, place, token) >= {least} AS constant FROM places
+  SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS n FROM places WHERE token <> '<*>'
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row, line ORDER BY n DESC, place) AS rank FROM counted WHERE n >= {least}
 ),
 templates AS (
-  SELECT leaf, doc_id, line,
-    string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template
-  FROM counted GROUP BY ALL HAVING 2 * count(*) FILTER (constant AND token <> '<*>') >= count(*)
+  SELECT leaf, row, line, string_agg(place || ' ' || token, ' ' ORDER BY place) FILTER (2 * rank <= size + 1) AS template
+  FROM ranked GROUP BY leaf, row, line, size HAVING 2 * count(*) >= size
 ),
 recurring AS (
-  SELECT leaf, template FROM templates JOIN classes USING (doc_id) GROUP BY ALL
-  HAVING count(DISTINCT doc_id) >= {least} AND 2 * count(DISTINCT class) >= count(DISTINCT doc_id)
+  SELECT leaf, template FROM templates JOIN classes USING (row) JOIN docs USING (row) GROUP BY ALL
+  HAVING count(DISTINCT text) >= {least} AND 2 * count(DISTINCT class) >= count(DISTINCT text)
 ),
-cut AS (SELECT doc_id, line FROM templates SEMI JOIN recurring USING (leaf, template)),
+cut AS (SELECT row, line FROM templates SEMI JOIN recurring USING (leaf, template)),
 originals AS (
-  SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) AS line FROM docs
+  SELECT row, unnest(parts) AS body, generate_subscripts(parts, 1) AS line FROM docs
 ),
 kept AS (
-  SELECT doc_id, string_agg(body, chr(10) ORDER BY line) AS body
-  FROM originals ANTI JOIN cut USING (doc_id, line) GROUP BY doc_id
+  SELECT row, string_agg(body, chr(10) ORDER BY line) AS body
+  FROM originals ANTI JOIN cut USING (row, line) GROUP BY row
 )
 SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines,
-  coalesce((SELECT count(*) FROM cut WHERE cut.doc_id = docs.doc_id), 0)::BIGINT AS n_dropped,
+  coalesce((SELECT count(*) FROM cut WHERE cut.row = docs.row), 0)::BIGINT AS n_dropped,
   sha256(coalesce(body, '')) AS kept_sha256
-FROM docs LEFT JOIN kept USING (doc_id)
+FROM docs LEFT JOIN kept USING (row)
 """
 
 

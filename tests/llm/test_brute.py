@@ -208,6 +208,35 @@ def test_a_template_family_goes_at_any_size(spark, n):
     stage = dict(corpus_pipeline.STAGES)["line dedup"]
     kept = stage(spark, docs, "").filter(F.col("text").contains("welcome")).count()
     assert kept == 0
+    counted = line_templates.drop_recurring_lines(docs, counts=True)
+    assert counted.agg(F.sum("n_dropped")).first()[0] == n
+
+
+def letters(column):
+    return F.translate(column.cast("string"), "0123456789", "abcdefghij")
+
+
+@pytest.mark.parametrize("n", [150, 4000])
+def test_families_of_one_leaf_all_go(spark, n):
+    """Fifteen templates of one length with the same first tokens; none has a tenth of the leaf."""
+    own = [F.concat(F.lit(f"k{c}"), letters(F.col("id") % 15)) for c in "uvw"]
+    line = F.concat_ws(
+        " ", F.lit("in the last"), *own, F.concat(F.lit("name"), letters(F.floor(F.col("id") / 15) % 40)), F.lit("was"),
+        F.concat(F.lit("city"), letters(F.floor(F.col("id") / 15) * 7 % 40)),
+    )
+    body = F.concat_ws(" ", *[F.concat(F.lit("w"), F.translate(F.md5(F.concat("id", F.lit(f"-{k}"))), "0123456789", "ghijklmnop")) for k in range(6)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(body, F.lit("\n"), line).alias("text"))
+    found = line_templates.drop_recurring_lines(docs, counts=True)
+    assert found.filter(F.col("n_dropped") != 1).count() == 0
+    assert found.filter(F.col("text").contains("in the last")).count() == 0
+
+
+def test_copies_do_not_shield_boilerplate(spark):
+    footer = "This text is part of the public collection"
+    rows = [(k, prose(k, 30) + "\n" + footer) for k in range(20)] + [(100 + k, prose(900, 30) + "\n" + footer) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_templates.drop_recurring_lines(docs).collect()
+    assert not any(footer in r.text for r in found) and all(len(r.text.split()) == 30 for r in found)
 
 
 def test_line_templates_run_no_python(spark):
