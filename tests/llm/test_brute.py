@@ -233,10 +233,14 @@ def test_families_of_one_leaf_all_go(spark, n):
 
 def test_copies_do_not_shield_boilerplate(spark):
     footer = "This text is part of the public collection"
-    rows = [(k, prose(k, 30) + "\n" + footer) for k in range(20)] + [(100 + k, prose(900, 30) + "\n" + footer) for k in range(60)]
+
+    def body(k):
+        return ". ".join(prose(10 * k + j, 12) for j in range(5))
+
+    rows = [(k, body(k) + "\n" + footer) for k in range(20)] + [(100 + k, body(90) + "\n" + footer) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = line_templates.drop_recurring_lines(docs).collect()
-    assert not any(footer in r.text for r in found) and all(len(r.text.split()) == 30 for r in found)
+    assert not any(footer in r.text for r in found) and all(len(r.text.split()) == 60 for r in found)
 
 
 def test_line_templates_run_no_python(spark):
