@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from logweir.functions.columns import once
 
@@ -56,6 +58,8 @@ def read_catalog(spark: SparkSession, path: str) -> list[tuple[int, str]]:
 
 
 WILDCARD = "(.*)"
+FEW = 64                     # templates that are tried one by one in generated code
+CATALOG_BYTES = 1 << 26
 _META = re.compile(r"[.^$*+?{}\[\]|()]")
 
 
@@ -100,6 +104,81 @@ def template_id_of(c: Column, catalog: list[tuple[int, str]]) -> Column:
     return out.otherwise(F.lit(None).cast("int"))
 
 
+def python_pattern(template: str) -> str:
+    """As ``prefix_pattern`` for a match at the start of a text; `.` stops at line feeds only there anyway."""
+    return prefix_pattern(template).removeprefix("(?d)^")
+
+
+class CatalogMatcher:
+    """First match over a large catalog: literals first, patterns only where their literal occurs.
+
+    An Aho-Corasick automaton over the longest literals of all templates reads a text once and names the templates that can
+    match; templates without a literal always can. Candidates are tried in catalog order.
+    """
+
+    def __init__(self, catalog: list[tuple[int, str]]):
+        self.ids = [template_id for template_id, _ in catalog]
+        self.texts = [python_pattern(template) for _, template in catalog]
+        self.patterns: list = [None] * len(catalog)     # compiled when first needed
+        self.always: list[int] = []
+        holders: dict[str, list[int]] = {}
+        for k, (_, template) in enumerate(catalog):
+            literal = longest_literal(template)
+            holders.setdefault(literal, []).append(k) if literal else self.always.append(k)
+        self.automaton = None
+        if holders:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for literal, places in holders.items():
+                self.automaton.add_word(literal, places)
+            self.automaton.make_automaton()
+
+    def candidates(self, text: str) -> list[int]:
+        """Places in the catalog of the templates that can match, in order."""
+        found = set(self.always)
+        if self.automaton is not None:
+            for _, places in self.automaton.iter(text):
+                found.update(places)
+        return sorted(found)
+
+    def match(self, text: str | None) -> int | None:
+        if text is None:
+            return None
+        for k in self.candidates(text):
+            if self.patterns[k] is None:
+                self.patterns[k] = re.compile(self.texts[k])
+            if self.patterns[k].match(text):
+                return self.ids[k]
+        return None
+
+
+def match_catalog(
+    lines: DataFrame, catalog: list[tuple[int, str]], message: str = "message", fallback_col: str | None = None
+) -> DataFrame:
+    """As ``match_templates``, by one automaton for all templates; the catalog goes to every task.
+
+    Catalogs above ``CATALOG_BYTES`` are refused: they would not fit beside the data of a task.
+    """
+    size = sum(len(t) for _, t in catalog)
+    if size > CATALOG_BYTES:
+        raise ValueError(f"a catalog of {size} characters; at most {CATALOG_BYTES} go to a task")
+    shared = lines.sparkSession.sparkContext.broadcast(catalog)
+    schema = StructType([*lines.schema.fields, StructField("template_id", IntegerType())])
+    places = [lines.columns.index(c) for c in (message, fallback_col) if c]
+
+    def run(batches):
+        matcher = CatalogMatcher(shared.value)
+        for batch in batches:
+            found = [matcher.match(text) for text in batch.column(places[0]).to_pylist()]
+            if len(places) > 1 and None in found:
+                raw = batch.column(places[1]).to_pylist()
+                found = [matcher.match(t) if i is None else i for i, t in zip(found, raw)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], schema.fieldNames())
+
+    return lines.mapInArrow(run, schema)
+
+
 def match_templates(
     lines: DataFrame,
     catalog: list[tuple[int, str]],
@@ -109,8 +188,11 @@ def match_templates(
     """Adds `template_id`: first match over the ordered catalog, NULL when unmatched.
 
     ``fallback_col`` is tried for unmatched messages. Row by row, without a shuffle; the
-    patterns run once per line even when the caller filters on the result.
+    patterns run once per line even when the caller filters on the result. Catalogs of more than ``FEW`` templates go through
+    ``match_catalog``, which gives the same ids.
     """
+    if len(catalog) > FEW:
+        return match_catalog(lines, catalog, message, fallback_col)
     found = template_id_of(F.col(message), catalog)
     if fallback_col:
         found = F.coalesce(found, template_id_of(F.col(fallback_col), catalog))

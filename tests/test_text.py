@@ -153,3 +153,42 @@ def test_literals():
     assert longest_literal("(.*)") == ""
     assert longest_literal("error[e]{0,1} (.*) ab") == " ab"
     assert prefix_pattern("a[b]? (.*)") == "(?d)^(?:a[b]? (.*))"
+
+
+def test_large_catalogs_match_as_single_patterns_do(spark):
+    import random
+    import re
+
+    from logweir.operators import templates as C
+
+    rng = random.Random(3)
+    words = ["open", "close", "a.b", "x(1)", "node", "fan", "err"]
+    catalog = []
+    for k in range(150):
+        parts = [rng.choice([re.escape(rng.choice(words)), "(.*)", "([-]?[0-9]+)", "[a-c]+"]) for _ in range(rng.randint(1, 4))]
+        catalog.append((1000 - k, " ".join(parts)))
+    texts = [" ".join(rng.choice([*words, "17", "-4", "cab", ""]) for _ in range(rng.randint(0, 6))) for _ in range(600)] + [None, "", "a\nb open"]
+    plain = [
+        next((i for i, p in catalog if t is not None and re.match(p, t)), None) for t in texts
+    ]
+    matcher = C.CatalogMatcher(catalog)
+    assert [matcher.match(t) for t in texts] == plain
+    assert sum(len(matcher.candidates(t)) for t in texts if t) < 0.7 * len(texts) * len(catalog)
+    lines = spark.createDataFrame([(k, t, "open") for k, t in enumerate(texts)], "log_id bigint, message string, raw string")
+    found = {r["log_id"]: r["template_id"] for r in C.match_templates(lines.repartition(3), catalog).collect()}
+    assert [found[k] for k in range(len(texts))] == plain
+    one_by_one = lines.select("log_id", C.template_id_of(lines["message"], catalog).alias("t")).collect()
+    assert {r["log_id"]: r["t"] for r in one_by_one} == found
+    second = next((i for i, p in catalog if re.match(p, "open")), None)
+    backed = {r["log_id"]: r["template_id"] for r in C.match_templates(lines, catalog, fallback_col="raw").collect()}
+    assert all(backed[k] == (second if i is None else i) for k, i in enumerate(plain))
+
+
+def test_a_catalog_beyond_the_bound_is_refused(spark, monkeypatch):
+    import pytest
+
+    from logweir.operators import templates as C
+
+    monkeypatch.setattr(C, "CATALOG_BYTES", 10)
+    with pytest.raises(ValueError, match="at most 10"):
+        C.match_catalog(spark.createDataFrame([("x",)], "message string"), [(0, "a long template text")])

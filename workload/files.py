@@ -218,3 +218,17 @@ def load_spirit_dataset(spark, sf_dir):
     log = scratch_path(spark, "log")
     L.write_log_lines(alert_lines_raw(spark, sf_dir), log)
     return load_dataset(spark, SPECS["Spirit"], log).instances()
+
+
+@query("""WITH w AS (
+  SELECT 'node' || user_id || '_' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 120 AS w, value > 200 AS a
+  FROM events)
+SELECT w AS session_id, count(*) AS n_events,
+  CASE WHEN bool_or(a) THEN 'Anomalous' ELSE 'Normal' END AS label FROM w GROUP BY w""")
+def load_bgl_dataset(spark, sf_dir):
+    """Registry entry with windows per node and loosely mined templates."""
+    from workload.fixtures import alert_lines_raw
+
+    log = scratch_path(spark, "log")
+    L.write_log_lines(alert_lines_raw(spark, sf_dir), log)
+    return load_dataset(spark, SPECS["BGL"], log).instances()
