@@ -10,8 +10,8 @@ and beside any number of other templates of the leaf. A template that recurs is
 * at least ``MIN_DOCS`` different texts have such lines,
 * and these have at least half as many classes as there are texts. The class is the smallest hash of a text's pieces between punctuation
   (of ``PIECE_CHARS`` characters and more; of the whole text where there is none), which near copies of one document mostly share
-  even if it is a single line: lines of near copies are left to document dedup, boilerplate of unlike documents goes, unless it is more than half of their pieces. Exact copies are one
-  text, however many there are.
+  even if it is a single line: lines of near copies are left to document dedup, boilerplate of unlike documents goes, unless it is
+  more than half of their pieces. Exact copies are one text, however many there are.
 
 Two narrow passes over the texts count leaves and cut out the lines of leaves that can hold a recurring template; only these are
 shuffled. Results are broadcast behind a count of their bytes (``BROADCAST_BYTES``), larger ones joined by shuffles.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cases import awkward_rows, edited, prose, table
 from logweir.llm import (
-    decontaminate, hidden_markov, language, line_templates, minhash, packing, personal_data, quality_classifier,
+    decontaminate, hidden_markov, language, line_templates, linear, minhash, packing, personal_data, quality_classifier,
     quality_rules, repeats,
 )
 
@@ -539,3 +539,80 @@ def test_one_row_stays_of_repeated_rows(spark):
     )
     again = minhash.deduplicate(table(spark, rows[::-1]).repartition(3)).collect()
     assert sorted(map(str, found)) == sorted(map(str, again))
+
+
+def plain_dual(rows, target, size, cost, steps=60_000):
+    """The hinge-loss dual by projected gradient on the full kernel matrix."""
+    x = np.zeros((len(rows), size + 1))
+    for k, (index, value) in enumerate(rows):
+        x[k, index], x[k, size] = value, 1
+    kernel = (x @ x.T) * np.outer(target, target)
+    dual, rate = np.zeros(len(rows)), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(steps):
+        dual = np.clip(dual - rate * (kernel @ dual - 1), 0, cost)
+    return (dual * target) @ x
+
+
+def primal(weights, rows, target, cost):
+    margins = np.array([t * (weights[i] @ v + weights[-1]) for (i, v), t in zip(rows, target)])
+    return 0.5 * weights @ weights + (cost * np.maximum(0, 1 - margins)).sum()
+
+
+def test_hinge_model_solves_the_dual():
+    draw = np.random.default_rng(2)
+    rows = []
+    for _ in range(50):
+        index = np.sort(draw.choice(12, 4, replace=False))
+        rows.append((index, draw.normal(size=4)))
+    target = np.where(draw.random(50) < 0.5, 1.0, -1.0)
+    cost = draw.uniform(0.2, 1.0, 50)
+    got = linear.hinge_model(rows, target, 12, cost, epochs=3000)
+    want = plain_dual(rows, target, 12, cost)
+    assert primal(got, rows, target, cost) <= primal(want, rows, target, cost) * 1.001 + 1e-6
+    assert np.abs(got - want).max() < 0.02
+
+
+def test_quality_features_are_scaled_by_log_count_ratios(monkeypatch):
+    """The weights are those of a hinge model on indicators times the ratio, folded back onto the indicators."""
+    draw = random.Random(6)
+    rows = [np.array(sorted(draw.sample(range(30), 6))) for _ in range(40)]
+    good = np.array([5 in r or draw.random() < 0.3 for r in rows])
+    seen = {}
+    solve = quality_classifier.hinge_model
+    monkeypatch.setattr(quality_classifier, "BITS", 5)
+    monkeypatch.setattr(
+        quality_classifier, "hinge_model", lambda r, t, size, cost: seen.update(rows=r, target=t) or solve(r, t, size, cost)
+    )
+    model = quality_classifier.fit_rows(rows, good, 0.5)
+    learn = [k for k in range(40) if k % 4 != 3]
+    count = {y: np.array([1 + sum(j in rows[k] for k in learn if good[k] == y) for j in range(32)], float) for y in (True, False)}
+    ratio = np.log(count[True] / count[True].sum()) - np.log(count[False] / count[False].sum())
+    for (index, value), k in zip(seen["rows"], learn):
+        assert (index == rows[k]).all() and np.allclose(value, ratio[rows[k]] / np.sqrt(len(rows[k])))
+    assert (seen["target"] == np.where(good[learn], 1, -1)).all()
+    margin = model.margin(rows[0])
+    assert margin == pytest.approx(float(model.weights[rows[0]].sum() / np.sqrt(6) + model.offset), rel=1e-6)
+
+
+def test_pair_votes_decide_inside_a_family():
+    """The predicted language wins most of the pair models of the best family; plain numpy gives the same."""
+    draw = np.random.default_rng(5)
+    names, size = ["de", "en", "nl"], (1 << language.BITS) + 1
+    rows = [("*", "germanic", "", draw.normal(size=size)), ("*", "romance", "", draw.normal(size=size))]
+    rows += [("germanic", a, b, draw.normal(size=size)) for a, b in (("de", "en"), ("de", "nl"), ("en", "nl"))]
+    rows.append(("romance", "fr", "", None))
+    model = language.Model([(g, a, b, w.astype("<f4").tobytes() if w is not None else b"") for g, a, b, w in rows])
+    for k in range(60):
+        text = prose(k, 30)
+        slots, values = language.features(text)
+        dot = lambda w: float(w.astype("<f4")[slots] @ values + w.astype("<f4")[-1])
+        family = max(("germanic", "romance"), key=lambda f: dot(next(w for g, a, _, w in rows if g == "*" and a == f)))
+        want = "fr"
+        if family == "germanic":
+            wins, sums = Counter(), Counter()
+            for _, a, b, w in rows[2:5]:
+                wins[a if dot(w) > 0 else b] += 1
+                sums[a] += dot(w)
+                sums[b] -= dot(w)
+            want = max(names, key=lambda n: (wins[n], sums[n]))
+        assert model.predict(text)[0] == want
