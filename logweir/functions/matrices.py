@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from logweir.functions.vectors import sum_vectors
+
 
 def batch_matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as a matrix, without a copy per row."""
@@ -17,10 +19,15 @@ def batch_matrix(column: pa.Array, width: int) -> np.ndarray:
 def matrix_sum_rows(
     df: DataFrame, vec: str, width: int, fn: Callable[[np.ndarray], np.ndarray]
 ) -> DataFrame:
-    """(i, j, g): element-wise sum of fn(batch) over all batches of vectors.
+    """(i, j, g): element-wise sum of fn(batch) over all batches of vectors."""
+    rows = summed_rows(df, vec, width, fn)
+    return rows.select("i", F.posexplode("row").alias("j", "g"))
+
+
+def summed_rows(df: DataFrame, vec: str, width: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(i, row): the rows of the summed matrix.
 
-    Every task adds its batches into one matrix and emits it once; the matrices are then
-    added in a shuffle of tasks x rows, combined before it.
+    Every task adds its batches into one matrix and emits it once; whole rows are then added in one shuffle, combined before it.
     """
 
     def partial(batches):
@@ -40,8 +47,7 @@ def matrix_sum_rows(
             )
 
     parts = df.select(vec).mapInArrow(partial, "i int, row array<double>")
-    cells = parts.select("i", F.posexplode("row").alias("j", "v"))
-    return cells.groupBy("i", "j").agg(F.sum("v").alias("g"))
+    return sum_vectors(parts, ["i"], "row")
 
 
 def matrix_sum(
@@ -49,8 +55,8 @@ def matrix_sum(
 ) -> np.ndarray:
     """The summed matrix on the driver; its shape depends on the model only."""
     out = np.zeros(shape)
-    table = matrix_sum_rows(df, vec, width, fn).toPandas()
-    out[table["i"], table["j"]] = table["g"]
+    for row in summed_rows(df, vec, width, fn).collect():
+        out[row["i"]] = row["row"]
     return out
 
 

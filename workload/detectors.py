@@ -475,6 +475,23 @@ def ica_vectors(spark, sf_dir):
     )
 
 
+@query("""SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS c
+FROM (SELECT unnest(range(count(*) // count(*) * 8)) AS i FROM embeddings), range(8) AS r(j)""")
+def ica_covariance(spark, sf_dir):
+    """Covariances of the independent components of all vectors: uncorrelated, of unit variance."""
+    v = vectors(spark, sf_dir).select("vec_id", "vec")
+    found = materialise(IcaModel.fit(v, k=8, max_iter=40).transform(v), "components")
+    cells = found.select("vec_id", F.posexplode("vec").alias("i", "x"))
+    means = cells.groupBy("i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+    centred = cells.join(F.broadcast(means), "i").select(  # one row per component
+        "vec_id", F.col("i").cast("bigint").alias("i"), (F.col("x") - F.col("m")).alias("x"), "n"
+    )
+    other = centred.select("vec_id", F.col("i").alias("j"), F.col("x").alias("y"))
+    return centred.join(other, "vec_id").groupBy("i", "j").agg(
+        (F.sum(F.col("x") * F.col("y")) / F.max("n")).alias("c")
+    ).select("i", "j", F.abs(r("c")).alias("c"))
+
+
 # ---- classifiers -----------------------------------------------------------------------
 
 
