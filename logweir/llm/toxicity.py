@@ -10,9 +10,10 @@ The model learns from a sample of labelled rows: about ``PER_CLASS`` documents o
 counted over all training labels. Sampled texts are read whole; a task sends 2 ** BITS document counts and, of each sampled text, the
 numbers of at most ``MOST`` features, so what the single fit task holds is bounded by the parameters. Every text is scored whole.
 
-Null and empty texts have no features and get the score of the offset. Rows without a label, or with a null one, are not learned from; if labels
-repeat, the largest counts. With labels of one class only, or none, every score is the (smoothed) share of label 1. Rows with a null id are
-scored and never learned from; repeated documents get equal scores. Extra columns are not read. Empty tables give no rows.
+Null and empty texts have no features and get the score of the offset. Rows without a label, or with a null one, are not learned from; if
+labels repeat, the largest counts, and of several texts of one id the first in order is learned. With labels of one class only, or none,
+every score is the (smoothed) share of label 1. Rows with a null id are scored and never learned from; repeated documents get equal scores.
+Extra columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -255,7 +256,7 @@ def fit(
     chosen = known.filter(uniform(F.col("id")) < rate)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(chosen), "id"  # about 2 * per_class rows
-    )
+    ).groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     toxic, clean, n_toxic, n_clean = _class_counts(sample)
     if not n_toxic or not n_clean:
         return bare
