@@ -66,6 +66,24 @@ def test_template_vectors_repeated_token(spark):
     assert (rate["missing"], rate["total"]) == (1, 4)
 
 
+@pytest.mark.parametrize("frequent_bytes", [0, 16, 1 << 20])
+def test_template_vectors_whatever_is_frequent(spark, frequent_bytes):
+    """Tokens whose vectors go to every task and those that meet theirs by a join add up to the same."""
+    templates = spark.createDataFrame(
+        [(1, "a a b"), (1, "a b b"), (2, "c d"), (None, "a"), (4, "b c q")], "template_id int, template string"
+    )
+    vectors = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [2.0, 1.0]), ("d", [0.5, 0.5])], "token string, vec array<double>"
+    )
+    rows = X.template_vectors(templates, vectors, frequent_bytes=frequent_bytes).collect()
+    got = {r[0]: r[1] for r in rows}
+    a, b, c, d = math.log(5 / 4), math.log(5 / 4), math.log(5 / 2), math.log(5)
+    assert np.allclose(got[1], [9 / 3 * a, 9 / 3 * b])
+    assert np.allclose(got[2], [c + d / 4, c / 2 + d / 4])
+    assert np.allclose(got[4], [2 / 3 * c, b / 3 + c / 3])
+    assert got[None] == [0.0, 0.0] and len(rows) == 5
+
+
 def test_word_vector_keeps_missing_in_divisor(spark):
     tokens = spark.createDataFrame([("addStoredBlock",)], "token string")
     vectors = spark.createDataFrame([("add", [3.0]), ("block", [6.0])], "token string, vec array<double>")
