@@ -2,8 +2,8 @@
 
 A state emits a word class, the class emits the word. Frequent words (at most ``TOP_WORDS``) are classes of their own; the others share
 ``SUFFIX_CLASSES`` classes by their ending, where a word has its smoothed share of the class. Exact word counts come from all
-training documents; Baum-Welch counts are summed over all partitions, too, ``ROUNDS`` times. Only the starting point of Baum-Welch is fitted on a
-bounded sample of about ``START_TOKENS`` tokens. A score is the exact log10 likelihood by the scaled forward recursion: the classes'
+training documents; Baum-Welch counts are summed over all partitions, too: first in one pass over all training documents in ``START_STEPS`` parts,
+after each of which the model moves on (stepwise Baum-Welch), then in ``ROUNDS`` rounds over all of them. A score is the exact log10 likelihood by the scaled forward recursion: the classes'
 likelihood plus the words' shares.
 
 The word counts stay a distributed table that grows with the corpus; what is collected is bounded by the number of classes.
@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from logweir.llm.common import HASHED_WORDS, WordHashes, lower_words, slices, trim_cache, typed
-from logweir.llm.linear import hold_out, uniform
+from logweir.llm.linear import hold_out
 from logweir.session import materialise
 
 TOP_WORDS = 32_000
 SUFFIX_CLASSES = 512
 STATES = 8
 ROUNDS = 3
-START_TOKENS = 400_000
-START_ROUNDS = 25
+START_STEPS = 10
+FORGET = 0.6             # a part of step k weighs (k + 1) ** -FORGET against all before
 SEGMENT = 64
 SEGMENTS = 2048          # segments in one step of the recursions
 CHUNK = 4096             # classes in one message of expected counts
@@ -223,6 +223,20 @@ class Counts:
         self.start, self.middle = np.zeros(states), np.zeros(states)
         self.moves, self.emits = np.zeros((states, states)), np.zeros((states, classes))
 
+    @classmethod
+    def of(cls, start, middle, moves, emits) -> Counts:
+        out = cls(*emits.shape)
+        out.start, out.middle, out.moves, out.emits = start, middle, moves, emits
+        return out
+
+    def times(self, factor: float) -> Counts:
+        return Counts.of(self.start * factor, self.middle * factor, self.moves * factor, self.emits * factor)
+
+    def plus(self, other: Counts) -> Counts:
+        return Counts.of(
+            self.start + other.start, self.middle + other.middle, self.moves + other.moves, self.emits + other.emits
+        )
+
     def add(self, chain: Chain, classes: list[np.ndarray]) -> None:
         pieces, first = [], []
         for c in classes:
@@ -276,26 +290,19 @@ def _sequences(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u2") for b in batch.column(column).to_pylist()]
 
 
-def _start_chain(train: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, states: int) -> Chain:
-    """Baum-Welch on a bounded sample of documents, from a seeded random start."""
-    chain = Chain.random(states, shares)
-    sample = train.filter(
-        uniform(F.xxhash64("doc_id", "classes")) < START_TOKENS / max(vocabulary.tokens, 1)
-    ).select("key", "classes")
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((k, s) for b in batches for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        texts = [np.frombuffer(s, "<u2") for _, s in rows]
-        now = chain
-        for _ in range(START_ROUNDS if texts else 0):
-            counts = Counts(states, len(shares))
-            counts.add(now, texts)
-            now = Chain.from_counts(counts, shares)
-        parts = [now.start, now.middle, now.moves.ravel(), now.emits.ravel()]
-        yield pa.RecordBatch.from_pydict({"data": [np.concatenate(parts).tobytes()]})
-
-    found = sample.repartition(1).mapInArrow(learn, "data binary").first()
-    return _unpacked(np.frombuffer(found.data), states) if found else chain
+def _start_chain(train: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, states: int, steps: int = START_STEPS) -> Chain:
+    """Stepwise Baum-Welch from a seeded random start: every training document is in one of the parts of one pass."""
+    chain, mean = Chain.random(states, shares), None
+    part = F.pmod(F.xxhash64(F.lit("start"), "doc_id", "classes"), F.lit(steps))
+    for step in range(steps):
+        counts = expected_counts(train.filter(part == step), chain)
+        if counts is None:
+            continue
+        counts = counts.times(vocabulary.tokens / counts.emits.sum())
+        share = (step + 1) ** -FORGET
+        mean = counts if mean is None else mean.times(1 - share).plus(counts.times(share))
+        chain = Chain.from_counts(mean, shares)
+    return chain
 
 
 def _unpacked(flat: np.ndarray, states: int) -> Chain:
@@ -303,8 +310,8 @@ def _unpacked(flat: np.ndarray, states: int) -> Chain:
     return Chain(flat[:k], flat[k : 2 * k], flat[2 * k : 2 * k + k * k].reshape(k, k), flat[2 * k + k * k :].reshape(k, -1))
 
 
-def baum_welch(train: DataFrame, chain: Chain, shares: np.ndarray, parts: int = 64) -> Chain:
-    """One round over all training sequences; counts are summed in two steps, in chunks of classes."""
+def expected_counts(train: DataFrame, chain: Chain, parts: int = 64) -> Counts | None:
+    """Expected counts of all sequences, None without any; they are summed in two steps, in chunks of classes."""
     states, classes = chain.emits.shape
     shared = train.sparkSession.sparkContext.broadcast(chain)
     schema = "chunk int, part int, data binary"
@@ -334,12 +341,15 @@ def baum_welch(train: DataFrame, chain: Chain, shares: np.ndarray, parts: int =
     sums = sums.groupBy("chunk").applyInPandas(add, schema)
     rows = sorted(sums.select("chunk", "data").collect())  # states * classes numbers
     if not rows:
-        return chain
-    flat = np.concatenate([np.frombuffer(r.data) for r in rows])
-    total = Counts(states, classes)
-    found = _unpacked(flat, states)
-    total.start, total.middle, total.moves, total.emits = found.start, found.middle, found.moves, found.emits
-    return Chain.from_counts(total, shares)
+        return None
+    found = _unpacked(np.concatenate([np.frombuffer(r.data) for r in rows]), states)
+    return Counts.of(found.start, found.middle, found.moves, found.emits)
+
+
+def baum_welch(train: DataFrame, chain: Chain, shares: np.ndarray, parts: int = 64) -> Chain:
+    """One round over all training sequences."""
+    counts = expected_counts(train, chain, parts)
+    return chain if counts is None else Chain.from_counts(counts, shares)
 
 
 def _vocabulary(counts: DataFrame, ends: int, top_words: int) -> tuple[Vocabulary, int]:

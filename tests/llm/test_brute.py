@@ -299,6 +299,19 @@ def test_baum_welch_raises_the_likelihood(spark):
     assert abs(counts.emits.sum() - sum(map(len, sequences))) < 1e-6
 
 
+def test_markov_start_learns_from_all_documents(spark):
+    """However many tokens the corpus has, no training document is left out of the first pass."""
+    draw = np.random.default_rng(2)
+    sequences = [draw.integers(0, 20, draw.integers(20, 100)) + 20 * (k % 2) for k in range(30)]
+    rows = spark.createDataFrame(
+        [(k, k, s.astype("<u2").tobytes()) for k, s in enumerate(sequences)], "key long, doc_id long, classes binary"
+    )
+    shares, vocabulary = np.full(40, 1 / 40), hidden_markov.Vocabulary([(k, 1 << 40) for k in range(40)], {}, 0)
+    start = hidden_markov._start_chain(rows, vocabulary, shares, 2)
+    before = hidden_markov.Chain.random(2, shares).scores(sequences).sum()
+    assert start.scores(sequences).sum() > before + 0.2 * sum(map(len, sequences))
+
+
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
