@@ -34,7 +34,7 @@ from logweir.session import materialise
 WINDOW = 4096
 OPEN_WINDOWS = 64
 MERGE_GROUP = 4096       # open windows that are merged by one task
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 ENCODED_AT_ONCE = 2048
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ TOKENIZER = "word_bpe_49k.json"
 SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 _SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
 
+# Words of these letters, perhaps with such signs behind them, go to the tokenizer's model without its text passes.
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "\xaa\xb5\xba")
+SIGNS = "".join(c for c in map(chr, range(0x21, 0x7f)) if not c.isalnum() and c != "'")
+_PLAIN = re.compile(f"([{LETTERS}]+)([{re.escape(SIGNS)}]*)")
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -59,6 +64,28 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def plain_signs(tokenizer) -> dict[int, str] | None:
+    """What the model sees of each of LETTERS and SIGNS; None where it sees more or less than these in a row.
+
+    A word of letters has to be one unit for the model, signs behind it another, whatever their case and order, and no added token may lie in both.
+    """
+    if tokenizer.pre_tokenizer is None:
+        return None
+    normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+
+    def units(text):
+        return [unit for unit, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal(text))]
+
+    table = {ord(c): "".join(units(c)) for c in LETTERS + SIGNS}
+    turns = (LETTERS, LETTERS[::-1], LETTERS[::7] + LETTERS[::5])
+    tried = [[t, s] for t in turns for s in (SIGNS, SIGNS[::-1])] + [[t] for t in turns] + [["x", c] for c in SIGNS]
+    same = all(units("".join(parts)) == [part.translate(table) for part in parts] for parts in tried)
+    added = any(
+        re.fullmatch(f"[{LETTERS}]*[{re.escape(SIGNS)}]*", t.content) for t in tokenizer.get_added_tokens_decoder().values()
+    )
+    return table if same and not added else None
+
+
 class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit numbers; unseen words are encoded in batches."""
 
@@ -67,13 +94,34 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.seen_as = tokenizer.encode_batch_fast, tokenizer.model, plain_signs(tokenizer)
+        self.units: dict[str, bytes] = {}   # of letters or signs, as the model sees them
+
+    def unit(self, text: str) -> bytes:
+        """Ids of what is one unit for the model."""
+        ids = self.units.get(text)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(text)]
+            ids = self.units[text] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def learn(self, words: set[str]) -> None:
         """Encode unseen words; the tokenizer splits a full stop or comma from the letter before it."""
+        if self.seen_as:
+            others = set()
+            for word in words:
+                if plain := _PLAIN.fullmatch(word):
+                    letters, signs = plain.groups()
+                    ids = self.unit(letters.translate(self.seen_as))
+                    self[word] = ids + self.unit(signs.translate(self.seen_as)) if signs else ids
+                else:
+                    others.add(word)
+            words = others
         ended = [w for w in words if w[-1] in ",." and w[-2:-1].lower().isalpha()]
         plain = words.difference(ended)
-        plain.update(",.", (w[:-1] for w in ended))
+        if ended:
+            plain.update(",.", (w[:-1] for w in ended))
         todo = [w for w in plain if w not in self]
         for at in range(0, len(todo), ENCODED_AT_ONCE):   # an encoding holds much more than the ids
             some = todo[at : at + ENCODED_AT_ONCE]
@@ -84,6 +132,7 @@ class WordIds(dict):
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         trim_cache(self, CACHED_WORDS)
+        trim_cache(self.units, CACHED_WORDS)
         lists = [split_words(t) if t else [] for t in texts]
         coded = [list(map(self.get, words)) for words in lists]
         self.learn({w for words, ids in zip(lists, coded) for w, i in zip(words, ids) if i is None})

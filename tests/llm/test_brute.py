@@ -345,6 +345,38 @@ def test_packing_round_trip(docs, rows):
     assert sum(u for u in used) / (512 * len(used)) > 0.85
 
 
+def test_packing_takes_words_of_letters_and_signs_straight_to_the_model():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    words = packing.WordIds(packing.default_tokenizer())
+    straight = ["Thentien", "été", "ÉTÉ!!", "Straße,", "a.***", "x", "ENDS.", "ÀÖØöøÿ&&&", "b<|", "the"]
+    others = ["it's", "'s", "a'", "1a", "a1.", "x,y", "µm", "ª", "e\u0301t\u0301", "Ã©", "ﬁne", "ŐŰ", "слово.", "(a)", "<|endoftext|>", "a<|endoftext|>", "ΣΑΣ"]
+    text = " ".join([*straight, *others, *straight])
+    whole = plain.encode(text, add_special_tokens=False).ids
+    assert words.of([text, None, ""]) == [np.array(whole, "<u4").tobytes(), b"", b""]
+
+    words = packing.WordIds(packing.default_tokenizer())
+    asked = []
+    words.encode = lambda some, **_: asked.extend(some) or []
+    words.of([" ".join(straight)])
+    assert not asked
+
+
+def test_packing_leaves_other_tokenizers_to_themselves(tmp_path):
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers
+
+    joined = Tokenizer.from_file(packing.default_tokenizer())
+    joined.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    added = Tokenizer.from_file(packing.default_tokenizer())
+    added.add_tokens([AddedToken("the", normalized=False)])
+    for tokenizer in (joined, added):
+        assert packing.plain_signs(tokenizer) is None
+    added.save(str(tmp_path / "added.json"))
+    ids = added.encode("breathe", add_special_tokens=False).ids
+    assert packing.WordIds(str(tmp_path / "added.json")).of(["breathe"]) == [np.array(ids, "<u4").tobytes()]
+
+
 def test_packing_keeps_the_ids_of_separator_characters(spark):
     from tokenizers import Tokenizer
 
