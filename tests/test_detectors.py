@@ -86,6 +86,35 @@ def test_density_against_brute_force(spark, monkeypatch, tile):
     assert np.allclose(got["outlier"][keep], want)
 
 
+def test_crowded_cells_are_not_copied_into_many_tiles(spark):
+    points = spark.range(6000).select(F.col("id").alias("pid"), F.lit(1).cast("bigint").alias("w"), F.array(
+        F.pmod(F.xxhash64("id"), F.lit(1000)) / 1e6, F.pmod(F.hash("id"), F.lit(1000)) / 1e6, F.lit(0.0)
+    ).alias("vec"))
+    assert D.tiles(points, 1.0).groupBy("pid").count().agg(F.max("count")).first()[0] <= 10
+
+
+@pytest.mark.parametrize("shift, unit", [(0, 1.0), (1000, 1.0), (0, 1e18), (0, 1e-20)])
+def test_pairs_of_a_tile(monkeypatch, shift, unit):
+    monkeypatch.setattr(D, "CELLS", 500)
+    rng = np.random.default_rng(8)
+    x = (rng.integers(0, 4, size=(150, 6)) + shift) * unit
+    y = np.vstack([x[:40], (rng.integers(0, 4, size=(90, 6)) + shift) * unit])
+    x[100, 2], y[50] = np.nan, np.inf
+    ids = [*range(150), *range(40), *range(500, 550), 100, *range(600, 639)]   # a vector that is no number is near itself
+    frame = pd.DataFrame({
+        "pid": ids, "w": 1, "vec": [*x, *y], "side": [0] * 150 + [1] * 130,
+    })
+    eps = 3 * unit   # many pairs lie exactly there
+    tile = D._Tile(frame, 6, eps)
+    found = {
+        (row, c) for row, hit, _, _ in tile.candidates() for c, d in zip(hit, tile.distances(row, hit)) if d <= eps
+    }
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    d[tile.px[:, None] == tile.py[None]] = 0
+    assert found == set(zip(*np.nonzero(d <= eps)))
+
+
 def test_labels_and_soft_targets(spark):
     rows = [
         (1, 0, [1.0], 0.3), (2, 0, [2.0], float("nan")), (3, 1, [3.0], 0.4),
