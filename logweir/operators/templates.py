@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,6 +62,7 @@ def read_catalog(spark: SparkSession, path: str) -> list[tuple[int, str]]:
 WILDCARD = "(.*)"
 FEW = 64                     # templates that are tried one by one in generated code
 CATALOG_BYTES = 1 << 26
+TESTS_HELD = 8192            # tests of single templates that a task keeps
 _META = re.compile(r"[.^$*+?{}\[\]|()]")
 
 
@@ -109,47 +112,85 @@ def python_pattern(template: str) -> str:
     return prefix_pattern(template).removeprefix("(?d)^")
 
 
+def _in_turn(pieces: list[str], text: str) -> bool:
+    """As the pattern of plain pieces between wildcards: each is searched leftmost-first, in the same line as the one before."""
+    at = len(pieces[0])
+    if not text.startswith(pieces[0]):
+        return False
+    for piece in pieces[1:]:
+        if piece:
+            found = text.find(piece, at)
+            if found < 0 or text.find("\n", at, found) >= 0:
+                return False
+            at = found + len(piece)
+    return True
+
+
+def text_test(template: str) -> Callable[[str], object]:
+    """Whether a text starts with a match of the template; plain pieces between wildcards need no pattern."""
+    pieces = [_literal(p) for p in template.split(WILDCARD)]
+    return re.compile(python_pattern(template)).match if None in pieces else partial(_in_turn, pieces)
+
+
+def catalog_table(catalog: list[tuple[int, str]]) -> pa.Table:
+    """Ids and templates without a Python object for each."""
+    return pa.table({
+        "template_id": pa.array([i for i, _ in catalog], pa.int64()), "template": pa.array([t for _, t in catalog], pa.string()),
+    })
+
+
 class CatalogMatcher:
     """First match over a large catalog: literals first, patterns only where their literal occurs.
 
     An Aho-Corasick automaton over the longest literals of all templates reads a text once and names the templates that can
-    match; templates without a literal always can. Candidates are tried in catalog order.
+    match; templates without a literal always can. Candidates are tried in catalog order. Beside the automaton and the text of the
+    catalog, only the ``TESTS_HELD`` tests made last stay in memory.
     """
 
-    def __init__(self, catalog: list[tuple[int, str]]):
-        self.ids = [template_id for template_id, _ in catalog]
-        self.texts = [python_pattern(template) for _, template in catalog]
-        self.patterns: list = [None] * len(catalog)     # compiled when first needed
+    def __init__(self, catalog: list[tuple[int, str]] | pa.Table):
+        held = catalog if isinstance(catalog, pa.Table) else catalog_table(catalog)
+        self.ids, self.texts = (held.column(c).combine_chunks() for c in ("template_id", "template"))
+        self.tests: dict[int, Callable[[str], object]] = {}     # made when first needed
         self.always: list[int] = []
-        holders: dict[str, list[int]] = {}
-        for k, (_, template) in enumerate(catalog):
-            literal = longest_literal(template)
-            holders.setdefault(literal, []).append(k) if literal else self.always.append(k)
+        self.more: dict[int, list[int]] = {}     # other places of the same literal, by the first
         self.automaton = None
-        if holders:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for literal, places in holders.items():
-                self.automaton.add_word(literal, places)
+        for k, template in enumerate(self.texts):
+            literal = longest_literal(template.as_py())
+            if not literal:
+                self.always.append(k)
+                continue
+            if self.automaton is None:
+                import ahocorasick
+
+                self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            first = self.automaton.get(literal, None)
+            if first is None:
+                self.automaton.add_word(literal, k)
+            else:
+                self.more.setdefault(first, []).append(k)
+        if self.automaton is not None:
             self.automaton.make_automaton()
 
     def candidates(self, text: str) -> list[int]:
         """Places in the catalog of the templates that can match, in order."""
         found = set(self.always)
         if self.automaton is not None:
-            for _, places in self.automaton.iter(text):
-                found.update(places)
+            for _, place in self.automaton.iter(text):
+                found.add(place)
+                found.update(self.more.get(place, ()))
         return sorted(found)
 
     def match(self, text: str | None) -> int | None:
         if text is None:
             return None
         for k in self.candidates(text):
-            if self.patterns[k] is None:
-                self.patterns[k] = re.compile(self.texts[k])
-            if self.patterns[k].match(text):
-                return self.ids[k]
+            test = self.tests.get(k)
+            if test is None:
+                if len(self.tests) >= TESTS_HELD:
+                    self.tests.clear()
+                test = self.tests[k] = text_test(self.texts[k].as_py())
+            if test(text):
+                return self.ids[k].as_py()
         return None
 
 
@@ -163,7 +204,7 @@ def match_catalog(
     size = sum(len(t) for _, t in catalog)
     if size > CATALOG_BYTES:
         raise ValueError(f"a catalog of {size} characters; at most {CATALOG_BYTES} go to a task")
-    shared = lines.sparkSession.sparkContext.broadcast(catalog)
+    shared = lines.sparkSession.sparkContext.broadcast(catalog_table(catalog))
     schema = StructType([*lines.schema.fields, StructField("template_id", IntegerType())])
     places = [lines.columns.index(c) for c in (message, fallback_col) if c]
 

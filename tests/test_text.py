@@ -184,6 +184,22 @@ def test_large_catalogs_match_as_single_patterns_do(spark):
     assert all(backed[k] == (second if i is None else i) for k, i in enumerate(plain))
 
 
+def test_large_catalogs_keep_few_tests(monkeypatch):
+    import re
+
+    from logweir.operators import templates as C
+
+    monkeypatch.setattr(C, "TESTS_HELD", 10)
+    catalog = [(k, f"(.*) block blk_{k} to (.*)" if k % 2 else f"block blk_{k} of ([-]?[0-9]+)") for k in range(300)]
+    catalog += [(300, r"a\.b(.*)c"), (301, "(.*)xx(.*)x"), (302, "(.*)xx"), (303, r"(.*)\n(.*)y"), (304, "a(.*)xx(.*)")]
+    texts = [f"the block blk_{k} to there" for k in range(0, 310)] + [f"block blk_{k} of {k}" for k in range(0, 310)] + [
+        "a.b c", "axb c", "a.b\nc", "xxx", "\nxx", "x\nxxx", "", "a\nxx", "a xx", "z\ny", "block blk_1 to\n",
+    ]
+    matcher = C.CatalogMatcher(catalog)
+    assert [matcher.match(t) for t in texts] == [next((i for i, p in catalog if re.match(p, t)), None) for t in texts]
+    assert len(matcher.tests) <= 10
+
+
 def test_a_catalog_beyond_the_bound_is_refused(spark, monkeypatch):
     import pytest
 
