@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import text as T
 from logweir.operators import sessions as S
+from logweir.session import materialise
 from workload.fixtures import L_SQL, M_SQL, event_lines, raw_lines, table
 from workload.registry import query
 from workload.text import MIXED_SQL, _mixed_lines
@@ -21,7 +22,7 @@ SELECT k.key AS session_id, session_idx,
 FROM k JOIN i ON k.key = i.key""")
 def sessions_by_block(spark, sf_dir):
     lines = _mixed_lines(spark, sf_dir)
-    members = S.sessions_by_key(lines)
+    members = materialise(S.sessions_by_key(lines), "members")   # read three times
     from logweir.operators.ranks import key_index
 
     return key_index(members, "session_id", "log_id").join(
