@@ -11,6 +11,7 @@ from logweir.functions import text as T
 from logweir.operators import sessions as S
 from logweir.operators.mining import MiningConfig, mine_templates
 from logweir.operators.templates import match_templates
+from logweir.session import materialise
 from logweir.sources.lines import read_log_lines
 from logweir.sources.tables import read_labels
 
@@ -66,23 +67,25 @@ def load_dataset(
     raw = read_log_lines(spark, path, spec.encoding)
     if spec.rule == "key":
         lines = raw.withColumn("message", T.drop_columns("raw", spec.drop))
-        members = S.sessions_by_key(lines, regex=spec.key_regex)
+        members = held = S.sessions_by_key(lines, regex=spec.key_regex)
         labels = read_labels(spark, labels_path)
     else:
         lines = T.parse_header(raw, drop=spec.drop, node=spec.node_column, strict_ts=spec.strict_ts)
         by = "node" if spec.rule == "node" else None
         members = S.sessions_by_count(lines, spec.window, partition_by=by)
-        labels = S.label_any(members).select("session_id", "label")
+        # Labels and sequences share one numbering of the lines.
+        held = materialise(members.select("session_id", "log_id", "is_alert"), "members")
+        labels = S.label_any(held).select("session_id", "label")
     if spec.catalog is not None:
         matched = match_templates(lines, list(spec.catalog), fallback_col="raw")
         log_events = matched.filter(F.col("template_id").isNotNull()).select("log_id", "template_id")
         templates = None
     else:
-        masked = lines.select("log_id", T.mask("message", spec.masks).alias("message"))
+        masked = materialise(lines.select("log_id", T.mask("message", spec.masks).alias("message")), "masked")
         mined = mine_templates(masked, spec.mining)
         log_events, templates = mined.log_events(masked), mined.templates
     vectors = None
     if spec.template_encoding is not None and templates is not None:
         vectors = spec.template_encoding(templates)
-    sequences = S.event_sequences(members, log_events)
+    sequences = S.event_sequences(held, log_events)
     return Dataset(lines, members, labels, log_events, sequences, vectors)
