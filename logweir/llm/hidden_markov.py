@@ -311,7 +311,7 @@ def _unpacked(flat: np.ndarray, states: int) -> Chain:
 
 
 def expected_counts(train: DataFrame, chain: Chain, parts: int = 64) -> Counts | None:
-    """Expected counts of all sequences, None without any; they are summed in two steps, in chunks of classes."""
+    """Expected counts of all sequences, None without any; chunks of classes are summed over ``parts`` tasks each, then over all."""
     states, classes = chain.emits.shape
     shared = train.sparkSession.sparkContext.broadcast(chain)
     schema = "chunk int, part int, data binary"
@@ -323,7 +323,7 @@ def expected_counts(train: DataFrame, chain: Chain, parts: int = 64) -> Counts |
                 counts.add(shared.value, _sequences(piece, 0))
         if not counts.start.any():
             return
-        part = TaskContext.get().partitionId() % parts
+        part = TaskContext.get().partitionId() // parts
         flat = np.concatenate([counts.start, counts.middle, counts.moves.ravel(), counts.emits.ravel()])
         chunks = [flat[at : at + CHUNK].astype("<f4").tobytes() for at in range(0, len(flat), CHUNK)]
         yield pa.RecordBatch.from_pydict({
