@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from logweir.operators.evaluate import f1_of, verdict
 from logweir.operators.windows import short_sessions, sliding_windows
-from logweir.session import materialise
+from logweir.session import growing, materialise
 
 
 def ranked_next(windows: DataFrame, context: str = "window") -> DataFrame:
@@ -59,19 +59,19 @@ class NextEventModel:
         pairs = windows.select("window", "next_event").distinct()
         if not self.backoff:
             known = self.table.select(F.col("context").alias("window"), "next_event", "rank")
-            return pairs.join(known, ["window", "next_event"], "left")
+            return pairs.join(growing(known), ["window", "next_event"], "left")
         contexts = self.table.select("level", "context").distinct()
         seen = (
             _suffixes(pairs.select("window").distinct(), self.h)
-            .join(contexts, ["level", "context"], "left_semi")
+            .join(growing(contexts), ["level", "context"], "left_semi")
             .groupBy("window")
             .agg(F.max(F.struct("level", "context")).alias("_best"))
             .select("window", "_best.level", "_best.context")
         )
         known = self.table.select("level", "context", "next_event", "rank")
         return (
-            pairs.join(seen, "window", "left")
-            .join(known, ["level", "context", "next_event"], "left")
+            pairs.join(growing(seen), "window", "left")
+            .join(growing(known), ["level", "context", "next_event"], "left")
             .select("window", "next_event", "rank")
         )
 
@@ -80,7 +80,7 @@ class NextEventModel:
         short sessions count as never predicted (the largest integer)."""
         never = F.lit(2**31 - 1)
         windows = sliding_windows(seq, self.h)
-        ranked = windows.join(self.rank_windows(windows), ["window", "next_event"])
+        ranked = growing(windows).join(self.rank_windows(windows), ["window", "next_event"])
         scored = ranked.groupBy("session_id").agg(
             F.max(F.coalesce("rank", never)).alias("worst")
         )
@@ -98,7 +98,7 @@ def sweep_candidates(worst: DataFrame, labels: DataFrame, max_g: int) -> DataFra
     """(g, tp, fp, fn, f1) for g = 1..max_g from one histogram of worst ranks."""
     truth = F.col("label") == "Anomalous"
     binned = (
-        worst.join(labels.select("session_id", "label"), "session_id")
+        worst.join(growing(labels.select("session_id", "label")), "session_id")
         .groupBy(F.least("worst", F.lit(max_g + 1)).cast("bigint").alias("g"))
         .agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("q"))
     )

@@ -13,26 +13,27 @@ from logweir.operators.next_event import NextEventMlp, NextEventModel
 from logweir.operators.sessions import NORMAL
 from logweir.operators.splits import encode_sequences, event_index
 from logweir.operators.windows import sequence_keys, short_sessions, sliding_windows
-from logweir.session import materialise
+from logweir.session import growing, materialise
 
 def distinct_sessions(seq: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One session per distinct (sequence, label), and its multiplicity (session_id, label, times)."""
-    keys = sequence_keys(seq).join(labels.select("session_id", "label"), "session_id")
+    keys = sequence_keys(seq).join(growing(labels.select("session_id", "label")), "session_id")
     kept = materialise(
         keys.groupBy("seq_key", "label").agg(
             F.min("session_id").alias("session_id"), F.count("*").alias("times")
         ).select("session_id", "label", "times"), "distinct-sessions",
     )
-    return seq.join(kept.select("session_id"), "session_id", "left_semi"), kept
+    return seq.join(growing(kept.select("session_id")), "session_id", "left_semi"), kept
 
 
 def weighted_scores(flags: DataFrame, kept: DataFrame) -> DataFrame:
     """(tp, tn, fp, fn, precision, recall, f1) over all sessions from the flags of the distinct ones."""
-    return prf(confusion(flags.join(kept, "session_id"), weight="times"))
+    return prf(confusion(flags.join(growing(kept), "session_id"), weight="times"))
 
 
 def _normal(seq: DataFrame, labels: DataFrame) -> DataFrame:
-    return seq.join(labels.filter(F.col("label") == NORMAL).select("session_id"), "session_id", "left_semi")
+    normal = labels.filter(F.col("label") == NORMAL).select("session_id")
+    return seq.join(growing(normal), "session_id", "left_semi")
 
 
 @dataclass
@@ -85,7 +86,7 @@ class QuantityDetector:
         windows = sliding_windows(coded, self.model.h)
         ranks = self.model.rank_windows(windows)
         never = F.lit(2**31 - 1)
-        worst = windows.join(ranks, ["window", "next_event"]).groupBy("session_id").agg(
+        worst = growing(windows).join(ranks, ["window", "next_event"]).groupBy("session_id").agg(
             F.max(F.coalesce("rank", never)).alias("worst")
         )
         short = short_sessions(coded, self.model.h).select("session_id", never.alias("worst"))
@@ -109,7 +110,7 @@ class SupervisedDetector:
     @staticmethod
     def fit(seq: DataFrame, labels: DataFrame, event_vectors: DataFrame, threshold: float = 0.5, **options):
         vectors = sequence_vectors(seq, event_vectors).join(
-            labels.select("session_id", "label"), "session_id"
+            growing(labels.select("session_id", "label")), "session_id"
         )
         classifier = SessionClassifier.fit(materialise(vectors, "vectors"), target="label", **options)
         return SupervisedDetector(event_vectors, classifier, threshold)

@@ -175,3 +175,29 @@ def test_tied_orders_keep_every_vector(spark):
     df = spark.createDataFrame(rows, "session_idx bigint, vec array<double>")
     model = fit_log_clusters(df, bootstrap=1)
     assert model.representatives.agg({"size": "sum"}).first()[0] == 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_next_event_tables_that_grow_are_not_broadcast(spark):
+    """A stage of alike rows is a small file, so its size on disk must not send its rows through the driver."""
+    from logweir.operators.next_event import sweep_candidates
+    from logweir.plans.next_events import NextEventDetector, distinct_sessions
+    from logweir.session import materialise
+
+    rows = [(f"s{i}", p, "abcab"[p]) for i in range(40) for p in range(5)]
+    seq = materialise(spark.createDataFrame(rows, "session_id string, pos bigint, event string"), "sequences")
+    labels = materialise(spark.createDataFrame(
+        [(f"s{i}", "Anomalous" if i % 5 == 0 else "Normal") for i in range(40)], "session_id string, label string"), "labels")
+    for backoff in (True, False):
+        fitted = NextEventDetector.fit(seq, labels, h=2, candidates=1, backoff=backoff)
+        worst = fitted.model.worst_ranks(seq)
+        assert "Broadcast" not in plan_of(worst)
+        assert {r["worst"] for r in worst.collect()} == {1}
+    distinct, kept = distinct_sessions(seq, labels)
+    assert "Broadcast" not in plan_of(distinct) and kept.count() == 2
+    swept = sweep_candidates(worst, labels, 1)
+    assert "BroadcastExchange HashedRelationBroadcastMode(List(input[0, string" not in plan_of(swept)
+    assert [(r["tp"], r["fp"], r["fn"]) for r in swept.collect()] == [(0, 0, 8)]
